@@ -254,3 +254,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     heads = known.groupBy("root").agg(F.min("text_id").alias("class_id"))
     known = known.join(heads, "root").select("text_key", "class_id", "text_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return signed.select("doc_id", "text_key").join(known, "text_key").select("doc_id", "class_id", "text_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """The rows of docs, with their columns, whose doc_id is the least of its class.
+
+    Repeated rows with that id stay once. Rows without an id all stay: nothing
+    says which of them a decision is about.
+    """
+    classes = near_duplicates(docs, threshold, tolerance)
+    heads = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    kept = docs.join(heads, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -25,8 +25,56 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import scored, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return scored(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    return mixed(_table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import deduplicated
+
+    return deduplicated(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_ngram_join": op3_ngram_join,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op9_mixing": op9_mixing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS ws FROM documents),
+g AS (
+  SELECT doc_id, unnest(range(1, greatest(len(ws) - 11, 1))) AS p, ws FROM w WHERE doc_id IS NOT NULL),
+h AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS seq FROM g),
+m AS (SELECT seq, min(doc_id) AS low FROM h GROUP BY seq),
+c AS (
+  SELECT DISTINCT h.doc_id, unnest(range(h.p, h.p + 13)) AS p FROM h JOIN m ON h.seq = m.seq WHERE m.low < h.doc_id),
+r AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id),
+k AS (
+  SELECT w.doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
+         list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda x: gone IS NULL OR NOT list_contains(gone, x[2])) AS kept
+  FROM w LEFT JOIN r ON w.doc_id = r.doc_id)
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
+       sha256(array_to_string(list_transform(kept, lambda x: x[1]), ' ')) AS kept_sha256
+FROM k
+"""
+
+
+def _oracles() -> dict[str, str]:
+    from .mixing import ORACLE_SQL
+
+    return {"op9_mixing": ORACLE_SQL, "op10_substring_dedup": OP10_SQL}
+
+
+ORACLES: dict[str, str] = _oracles()
