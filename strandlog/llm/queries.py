@@ -19,6 +19,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=1)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judged
+
+    return judged(_table(spark, sf_dir, "documents")).drop("clean_text")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_duplicates
 
@@ -32,6 +38,31 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import scored, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return scored(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .threads import reply_ordered
+
+    return reply_ordered(_table(spark, sf_dir, "conversations"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import with_neighbours
+
+    return with_neighbours(_table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extraction import extracted
+
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
@@ -46,8 +77,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_quality_rules": op2_quality_rules,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_toxicity": op5_toxicity,
+    "op6_chat_threads": op6_chat_threads,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_html_extraction": op8_html_extraction,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
 }
