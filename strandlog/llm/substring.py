@@ -47,54 +47,53 @@ SCAN_BYTES = 8 << 20
 _TAG = 1 << 40
 
 
-def selected(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, first word of each window, its fingerprint, word where the fingerprint's run starts)."""
+def selected(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, first word of each window, its fingerprint)."""
     hashes = text.hashes()
     grams, at = windows(hashes, text.first, GRAM)
     _, starts = windows(hashes, text.first, WINDOW)
-    full = np.full(len(hashes), np.iinfo(np.uint64).max, np.uint64)
-    full[at] = grams
-    least, where = full[starts], starts.copy()
-    for j in range(1, WINDOW - GRAM + 1):
-        other = full[starts + j]
-        less = other < least
-        least[less] = other[less]
-        where[less] = starts[less] + j
-    return hashes, starts, least, where
+    least = np.full(len(hashes), np.iinfo(np.uint64).max, np.uint64)
+    least[at] = grams
+    whole, span, width = least, 1, WINDOW - GRAM + 1
+    while 2 * span <= width:  # least of 1, 2, 4, ... neighbours
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if span < width:
+        least = np.minimum(least[: len(whole) - width + 1], least[width - span :])
+    return hashes, starts, least[starts]
+
+
+def _runs(starts: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """Windows that do not share their fingerprint with the one before."""
+    new = np.ones(len(starts), bool)
+    new[1:] = (fps[1:] != fps[:-1]) | (starts[1:] != starts[:-1] + 1)
+    return new
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(fp, doc_id): of a block's documents with a fingerprint, the least and the greatest."""
     for part, text in blocks(batches, limit=SCAN_BYTES):
         ids = part.column(0).to_numpy(zero_copy_only=False)
-        _, starts, fps, where = selected(text)
+        _, starts, fps = selected(text)
         if not len(starts):
             continue
-        new = np.ones(len(starts), bool)
-        new[1:] = where[1:] != where[:-1]
+        new = _runs(starts, fps)
         fps, docs = fps[new], ids[np.searchsorted(text.first, starts[new], "right") - 1]
-        order = np.lexsort((docs, fps))
+        order = np.argsort(fps)
         fps, docs = fps[order], docs[order]
-        edge = np.ones(len(fps), bool)
-        edge[1:] = fps[1:] != fps[:-1]
-        last = np.append(edge[1:], True)
-        keep = edge | (last & (docs != docs[np.maximum.accumulate(np.where(edge, np.arange(len(fps)), 0))]))
-        yield pa.RecordBatch.from_arrays([pa.array(fps[keep].view(np.int64)), pa.array(docs[keep])], ["fp", "doc_id"])
+        heads = np.flatnonzero(np.concatenate([[True], fps[1:] != fps[:-1]]))
+        low, high, fps = np.minimum.reduceat(docs, heads), np.maximum.reduceat(docs, heads), fps[heads]
+        two = low < high
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([fps, fps[two]]).view(np.int64)), pa.array(np.concatenate([low, high[two]]))], ["fp", "doc_id"])
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, doc_id) of every document and fingerprint."""
+    """(fp, doc_id) of the fingerprints of every document; some more than once."""
     for part, text in blocks(batches):
         ids = part.column(0).to_numpy(zero_copy_only=False)
-        _, starts, fps, where = selected(text)
-        new = np.ones(len(starts), bool)
-        new[1:] = where[1:] != where[:-1]
-        fps, doc = fps[new], np.searchsorted(text.first, starts[new], "right") - 1
-        order = np.lexsort((fps, doc))
-        fps, doc = fps[order], doc[order]
-        once = np.ones(len(fps), bool)
-        once[1:] = (fps[1:] != fps[:-1]) | (doc[1:] != doc[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(fps[once].view(np.int64)), pa.array(ids[doc[once]])], ["fp", "doc_id"])
+        _, starts, fps = selected(text)
+        new = _runs(starts, fps)
+        yield pa.RecordBatch.from_arrays([pa.array(fps[new].view(np.int64)), pa.array(ids[np.searchsorted(text.first, starts[new], "right") - 1])], ["fp", "doc_id"])
 
 
 class FingerprintIndex:
@@ -155,7 +154,7 @@ def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of the windows under candidate fingerprints; those that the block settles come as spans with a null fp."""
     for part, text in blocks(_by_id(batches), limit=SCAN_BYTES):
         ids = part.column(0).to_numpy(zero_copy_only=False)
-        hashes, starts, fps, where = selected(text)
+        hashes, starts, fps = selected(text)
         doc = np.searchsorted(text.first, starts, "right") - 1
         wanted = np.zeros(len(starts), bool)
         salts = np.ones(len(starts), np.int64)
@@ -197,7 +196,7 @@ def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(pick):
             salt = (one % salts[pick].astype(np.uint64)).astype(np.int64)
             cut = np.ones(len(pick), bool)
-            cut[1:] = (where[pick][1:] != where[pick][:-1]) | (pick[1:] != pick[:-1] + 1) | (salt[1:] != salt[:-1])
+            cut[1:] = (fps[pick][1:] != fps[pick][:-1]) | (pick[1:] != pick[:-1] + 1) | (doc[pick][1:] != doc[pick][:-1]) | (salt[1:] != salt[:-1])
             digests = np.zeros(len(pick), [("one", "<u8"), ("two", "<u4")])
             digests["one"], digests["two"] = one, two
             edges = np.append(np.flatnonzero(cut), len(pick))
@@ -223,13 +222,18 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.array([len(x) // 12 for x in raw])
         digests = np.frombuffer(b"".join(raw), [("one", "<u8"), ("two", "<u4")])
         row = np.repeat(np.arange(len(raw)), counts)
-        order = np.lexsort((ids[row], digests["two"], digests["one"]))
-        sorted_ = digests[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (sorted_["one"][1:] != sorted_["one"][:-1]) | (sorted_["two"][1:] != sorted_["two"][:-1])
-        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        one, two, doc = digests["one"], digests["two"], ids[row]
+        order = np.argsort(one)
+        first = one[order]
+        new = np.concatenate([[True], first[1:] != first[:-1]])
+        if (~new[1:] & (two[order][1:] != two[order][:-1])).any():  # two digests share their first half
+            order = np.lexsort((two, one))
+            first, second = one[order], two[order]
+            new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+        heads = np.flatnonzero(new)
+        least = np.repeat(np.minimum.reduceat(doc[order], heads), np.diff(np.append(heads, len(order))))
         later = np.zeros(len(order), bool)
-        later[order] = ids[row[order]] > ids[row[head]]
+        later[order] = doc[order] > least
         begin = np.concatenate([[0], np.cumsum(counts)])
         out = []
         for r in np.unique(row[later]).tolist():
@@ -241,29 +245,45 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(id_, pa.int64()), pa.array(tag_, pa.int64()), pa.array(spans_, pa.binary())], ["doc_id", "tag", "spans"])
 
 
+def _joined(text: Text, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kept words of each document, a space after each but the last of a text that ends with it; offsets by document."""
+    start, end = text.start[keep], text.end[keep]
+    stop = np.minimum(end + 1, text.docs[1:][text.doc_of_word()[keep]])
+    edges = np.zeros(len(text.data) + 1, np.int8)
+    edges[start] += 1
+    edges[stop] -= 1
+    inside = np.cumsum(edges[:-1], dtype=np.int8) > 0
+    bounds = np.concatenate([[0], np.cumsum(text.per_doc(inside))])
+    return np.where(text.word, text.data, 0x20).astype(np.uint8)[inside], bounds
+
+
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n_words, n_removed, kept_sha256, kept of each row of (doc_id, text, copies, spans by tag)."""
     for part, text in blocks(batches):
         counts, hits, copies = text.counts(), part.column(3).to_pylist(), part.column(2).to_pylist()
-        rows = []
+        keep = np.ones(len(text.start), bool)
         for d in range(text.n):
+            a, b = text.first[d], text.first[d + 1]
+            if not copies[d] and not hits[d]:
+                continue
             raw = text.data[text.docs[d] : text.docs[d + 1]].tobytes()
-            n = int(counts[d])
-            keep = np.ones(n, bool)
-            if n >= WINDOW and copies[d] and hashlib.md5(raw).digest() in copies[d]:
-                keep[:] = False
+            if b - a >= WINDOW and copies[d] and hashlib.md5(raw).digest() in copies[d]:
+                keep[a:b] = False
             elif hits[d]:
-                tag, cover = _tag(raw), np.zeros(n + 1, np.int64)
+                tag, cover = _tag(raw), np.zeros(b - a + 1, np.int64)
                 for hit in hits[d]:
                     if hit["tag"] == tag:
                         spans = np.frombuffer(hit["spans"], "<i4").reshape(-1, 2)
                         np.add.at(cover, spans[:, 0], 1)
                         np.add.at(cover, spans[:, 0] + spans[:, 1] + WINDOW - 1, -1)
-                keep = np.cumsum(cover[:-1]) == 0
-            at = np.flatnonzero(keep) + text.first[d]
-            base = int(text.docs[d])
-            kept = b" ".join([raw[a:b] for a, b in zip((text.start[at] - base).tolist(), (text.end[at] - base).tolist(), strict=True)])
-            rows.append((n, n - len(at), hashlib.sha256(kept).hexdigest(), kept if len(at) < n else None))
+                keep[a:b] = np.cumsum(cover[:-1]) == 0
+        kept_words = np.concatenate([[0], np.cumsum(keep)])[text.first]
+        lines, bounds = _joined(text, keep)
+        rows = []
+        for d in range(text.n):
+            n, left = int(counts[d]), int(kept_words[d + 1] - kept_words[d])
+            kept = lines[bounds[d] : bounds[d + 1]].tobytes().rstrip(b" ")
+            rows.append((n, n - left, hashlib.sha256(kept).hexdigest(), kept if left < n else None))
         n_, removed_, sha_, kept_ = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_, pa.int64()), pa.array(removed_, pa.int64()), pa.array(sha_), pa.array(kept_, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
@@ -296,7 +316,7 @@ def deduplicated(docs: DataFrame, batches: int = 2) -> DataFrame:
         shared = found if shared is None else shared.union(found)
     deals = shared.groupBy("fp").agg(F.ceil(F.sum("rows") / DEAL).cast("long").alias("deal"))
     held = known.mapInArrow(_held, "fp long, doc_id long").join(deals, "fp")
-    candidates = held.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "deal")).alias("c")).select("doc_id", F.col("c.fp").alias("fps"), F.col("c.deal").alias("deals"))
+    candidates = held.groupBy("doc_id").agg(F.collect_set(F.struct("fp", "deal")).alias("c")).select("doc_id", F.col("c.fp").alias("fps"), F.col("c.deal").alias("deals"))
 
     keyed = known.select("doc_id", F.unhex(F.md5("text")).alias("key"))
     firsts = keyed.groupBy("key").agg(F.min("doc_id").alias("first_id"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 2 << 20
-_SEGMENT = 1 << 18
+_SEGMENT = 1 << 15
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -39,19 +39,17 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 _BYTE = stream(11, 256)
 _BASE = np.uint64(0x5851F42D4C957F2D)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, for n bytes at least."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, _SEGMENT + 1)
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+def _tables(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, n of each at least."""
+    known = _powers.get(int(base))
+    if known is None or len(known[0]) < n:
+        up, down = np.full(n, base, np.uint64), np.full(n, pow(int(base), -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        known = _powers[int(base)] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return known
 
 
 class Text:
@@ -98,7 +96,7 @@ class Text:
             at = self.start[k]
             stop = max(k + 1, int(np.searchsorted(self.end, at + _SEGMENT, "right")))
             end = self.end[stop - 1]
-            up, down = _tables(end - at + 1)
+            up, down = _tables(_BASE, max(_SEGMENT, int(end - at)) + 1)
             sums = np.zeros(end - at + 1, np.uint64)
             np.cumsum(_BYTE[self.data[at:end]] * up[: end - at], out=sums[1:])
             a, b = self.start[k:stop] - at, self.end[k:stop] - at
@@ -119,10 +117,15 @@ def windows(h: np.ndarray, first: np.ndarray, size: int, seed: int = 0) -> tuple
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    out, base = np.zeros(n, np.uint64), stream(101 + seed, 1)[0] | np.uint64(1)
-    for j in range(size):
-        out *= base
-        out += h[j : j + n]
+    out, base = np.empty(n, np.uint64), stream(101 + seed, 1)[0] | np.uint64(1)
+    step = _SEGMENT >> 1
+    up, down = _tables(base, step + size)
+    sums = np.zeros(step + size, np.uint64)
+    for a in range(0, n, step):  # sums of powers from the segment's first word, so a run is a difference of two
+        b = min(n, a + step)
+        m = b - a + size - 1
+        np.cumsum(h[a : b + size - 1] * down[:m], out=sums[1 : m + 1])
+        out[a:b] = (sums[size : m + 1] - sums[: m + 1 - size]) * up[size - 1 : size - 1 + b - a]
     inside = np.ones(n, bool)
     for j in range(1, size):
         cut = first[1:-1] - j
