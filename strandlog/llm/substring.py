@@ -43,7 +43,7 @@ WINDOW, GRAM = 13, 5
 DEAL = 256
 #: Runs that ``compact`` waits for.
 FANOUT = 4
-SCAN_BYTES = 8 << 20
+SCAN_BYTES = 4 << 20
 _TAG = 1 << 40
 
 
@@ -152,7 +152,7 @@ def _spans(flags: np.ndarray) -> bytes:
 
 def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of the windows under candidate fingerprints; those that the block settles come as spans with a null fp."""
-    for part, text in blocks(_by_id(batches), limit=SCAN_BYTES):
+    for part, text in blocks(batches, limit=SCAN_BYTES):
         ids = part.column(0).to_numpy(zero_copy_only=False)
         hashes, starts, fps = selected(text)
         doc = np.searchsorted(text.first, starts, "right") - 1
@@ -179,12 +179,7 @@ def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, _ = windows(hashes, text.first, WINDOW, seed=1)
         second, _ = windows(hashes, text.first, WINDOW, seed=2)
         one, two = first[pick], second[pick].astype(np.uint32)
-        order = np.argsort(one, kind="stable")  # documents are in the order of their ids
-        new = np.ones(len(pick), bool)
-        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-        head = order[np.maximum.accumulate(np.where(new, np.arange(len(pick)), 0))]
-        settled = np.zeros(len(pick), bool)
-        settled[order] = ids[doc[pick[order]]] > ids[doc[pick[head]]]
+        settled = _later(one, two, ids[doc[pick]])
         local = np.zeros(len(starts), bool)
         local[pick[settled]] = True
         out_fp: list = []
@@ -209,9 +204,19 @@ def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_fp, pa.int64()), pa.array(salt_, pa.int64()), pa.array(id_, pa.int64()), pa.array(place_, pa.int64()), pa.array(bytes_, pa.binary())], ["fp", "salt", "doc_id", "place", "digests"])
 
 
-def _by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch.sort_by("doc_id") if batch.num_rows else batch
+def _later(one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Digests (in two parts) that a smaller id has too."""
+    order = np.argsort(one)
+    first = one[order]
+    new = np.concatenate([[True], first[1:] != first[:-1]])
+    if (~new[1:] & (two[order][1:] != two[order][:-1])).any():  # two digests share their first part
+        order = np.lexsort((two, one))
+        new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+    heads = np.flatnonzero(new)
+    least = np.repeat(np.minimum.reduceat(ids[order], heads), np.diff(np.append(heads, len(order))))
+    later = np.zeros(len(order), bool)
+    later[order] = ids[order] > least
+    return later
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,18 +227,7 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.array([len(x) // 12 for x in raw])
         digests = np.frombuffer(b"".join(raw), [("one", "<u8"), ("two", "<u4")])
         row = np.repeat(np.arange(len(raw)), counts)
-        one, two, doc = digests["one"], digests["two"], ids[row]
-        order = np.argsort(one)
-        first = one[order]
-        new = np.concatenate([[True], first[1:] != first[:-1]])
-        if (~new[1:] & (two[order][1:] != two[order][:-1])).any():  # two digests share their first half
-            order = np.lexsort((two, one))
-            first, second = one[order], two[order]
-            new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-        heads = np.flatnonzero(new)
-        least = np.repeat(np.minimum.reduceat(doc[order], heads), np.diff(np.append(heads, len(order))))
-        later = np.zeros(len(order), bool)
-        later[order] = doc[order] > least
+        later = _later(digests["one"], digests["two"], ids[row])
         begin = np.concatenate([[0], np.cumsum(counts)])
         out = []
         for r in np.unique(row[later]).tolist():
