@@ -32,7 +32,8 @@ FURNITURE_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion replies respond".split())
 MAIN_WORDS = frozenset("article articlebody main maincontent".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.DOTALL)
+# Possessive, and without "<" outside quotes, so that a page of unclosed tags takes linear time.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\"><])*+)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"[ \t\n\f\r\v]+")
 _WORD_CUT = re.compile(r"[\s_-]+")

@@ -117,9 +117,10 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int
 
     Rows that share a doc_id are repeated alike, as the one taken most often.
     """
-    decided = mixed(docs, weights, repeats).where("taken > 0").groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_copies"))
-    joined = docs.alias("d").join(decided.withColumnRenamed("doc_id", "_id"), F.col("d.doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("d.*")
+    decided = mixed(docs, weights, repeats).where("taken > 0").groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("copies"))
+    whole = docs.select(F.struct("*").alias("row"))  # one column, so that no name of docs can clash
+    joined = whole.join(decided, F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 ORACLE_SQL = r"""

@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     Other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
     signed = written(keyed.mapInArrow(_signatures, "doc_id long, text_key binary, signature binary"), "signatures")
     classes = signed.groupBy("text_key").agg(F.min("doc_id").alias("text_id"))
     unique = signed.groupBy("text_key").agg(F.first("signature").alias("signature")).where("signature is not null")

@@ -338,9 +338,9 @@ def without_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
     documents keep their text as it is. Rows that share an id are changed only
     where their own text was.
     """
-    changed = deduplicated(docs, batches).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("n_words").alias("_n"), "kept").distinct()
-    joined = docs.join(changed, (F.col("doc_id") == F.col("_id")) & (size_of(F.col("text")) == F.col("_n")), "left")
-    text = F.when(F.col("_id").isNull(), F.col("text")).otherwise(F.col("kept"))
-    out = joined.where("_id is null or kept <> ''")
-    lengths = {"n_chars": F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {}
-    return out.withColumns({"text": text, **lengths}).select(docs.columns)
+    changed = deduplicated(docs, batches).where("n_removed > 0").select(F.col("doc_id").alias("id"), F.col("n_words").alias("n"), "kept").distinct()
+    whole = docs.select(F.struct("*").alias("row"))  # one column, so that no name of docs can clash
+    joined = whole.join(changed, (F.col("row.doc_id") == F.col("id")) & (size_of(F.col("row.text")) == F.col("n")), "left").where("id is null or kept <> ''")
+    new = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    columns = [F.when(F.col("id").isNull(), F.col("row")[c]).otherwise(new[c].cast(docs.schema[c].dataType)).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns]
+    return joined.select(*columns)
