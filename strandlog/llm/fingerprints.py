@@ -51,8 +51,12 @@ def _values(text: Text) -> np.ndarray:
 
 
 def codes(text: Text) -> np.ndarray:
-    """(documents, BINS) low-order bits, as small integers."""
-    return (_values(text) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    """(documents, BINS) low-order bits, as small integers.
+
+    Values are hashed with their bin first, else bins that were filled with the
+    same value would agree by chance all together.
+    """
+    return (mix64(_values(text) ^ stream(401, BINS)) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
 
 
 def packed(code: np.ndarray) -> list[str]:
