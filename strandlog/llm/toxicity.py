@@ -46,26 +46,29 @@ def folded(text: Text) -> Text:
     return Text(_FOLD[text.data], text.docs)
 
 
-def _buckets(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, bucket) of each distinct word bucket of a document, and the hash of each word."""
-    hashes = text.hashes()
-    pairs = np.unique((text.doc_of_word().astype(np.uint64) << np.uint64(BUCKET_BITS)) | (hashes >> np.uint64(64 - BUCKET_BITS)))
-    return (pairs >> np.uint64(BUCKET_BITS)).astype(np.int64), (pairs & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int32), hashes
-
-
 def _hash_words(words: tuple[str, ...]) -> np.ndarray:
     raw = " ".join(words).encode()
     return Text(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hashes()
 
 
+def _buckets(text: Text) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(document, bucket) of each distinct word bucket of a document; whether each document has seeds of each category.
+
+    Having a seed of a category is a bucket too, behind those of the words.
+    """
+    hashes, of, shift = text.hashes(), text.doc_of_word(), np.uint64(BUCKET_BITS + 1)
+    has = [np.bincount(of[np.isin(hashes, _hash_words(SEEDS[c]))], minlength=text.n) > 0 for c in CATEGORIES[:-1]]
+    seeded = [(np.flatnonzero(h).astype(np.uint64) << shift) | np.uint64((1 << BUCKET_BITS) + k) for k, h in enumerate(has)]
+    pairs = np.unique(np.concatenate([(of.astype(np.uint64) << shift) | (hashes >> np.uint64(64 - BUCKET_BITS)), *seeded]))
+    return (pairs >> shift).astype(np.int64), (pairs & np.uint64((2 << BUCKET_BITS) - 1)).astype(np.int32), has
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, y, seeds of each category, buckets) of labelled rows (doc_id, y, text)."""
-    seeds = [_hash_words(SEEDS[c]) for c in CATEGORIES[:-1]]
     for part, plain in blocks(batches):
         text = folded(plain)
-        doc, bucket, hashes = _buckets(text)
-        of = text.doc_of_word()
-        own = [pa.array(np.bincount(of[np.isin(hashes, s)], minlength=text.n) > 0) for s in seeds]
+        doc, bucket, has = _buckets(text)
+        own = [pa.array(h) for h in has]
         lists = pa.ListArray.from_arrays(np.searchsorted(doc, np.arange(text.n + 1)).astype(np.int32), pa.array(bucket))
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own, lists], ["doc_id", "y", *CATEGORIES[:-1], "buckets"])
 
