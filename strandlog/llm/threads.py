@@ -17,9 +17,10 @@ over one conversation or one frequent line in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import latest, numbered
 from .store import written
 
 _MARKS = r"^[ \t]*(?:>[ \t]*)+"
@@ -27,35 +28,6 @@ _MARKS = r"^[ \t]*(?:>[ \t]*)+"
 _ATTRIBUTION = r"(?i)\b(wrote|writes|schrieb|écrit|escribió)\s*:\s*$"
 
 
-def in_order(df: DataFrame, by: list[str], label: str) -> DataFrame:
-    """df range-sorted by ``by`` and written, with the number of each row's block in ``_block``."""
-    dealt = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in by]).withColumn("_block", F.spark_partition_id())
-    return written(dealt, label)  # later reads must see the same blocks
-
-
-def _within(by: list[str]) -> Window:
-    return Window.partitionBy("_block").orderBy(*[F.col(c).asc_nulls_first() for c in by])
-
-
-def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Adds a gapless number from 0 in the order of ``by``, over the whole table."""
-    sorted_ = in_order(df, by, name)
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sorted_.groupBy("_block").agg(F.count("*").alias("_n")).select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # one row a block
-    return sorted_.withColumn("_own", F.row_number().over(_within(by))).join(F.broadcast(bases), "_block").withColumn(name, F.col("_base") + F.col("_own") - 1).drop("_block", "_own", "_base")
-
-
-def latest(df: DataFrame, by: list[str], value: Column, label: str) -> DataFrame:
-    """Adds ``_latest``: the last value that is not null among the rows before and with each, in the order of ``by``."""
-    sorted_ = in_order(df.withColumn("_value", value), by, label)
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max_by("_value", F.struct(*by))
-    ends = sorted_.where("_value is not null").groupBy("_block").agg(last.alias("_last"))
-    every = sorted_.select("_block").distinct().join(ends, "_block", "left").select("_block", F.last("_last", True).over(before).alias("_carried"))  # one row a block
-    own = F.last("_value", True).over(_within(by).rowsBetween(Window.unboundedPreceding, 0))
-    return sorted_.withColumn("_own", own).join(F.broadcast(every), "_block").withColumn("_latest", F.coalesce("_own", "_carried")).drop("_block", "_own", "_carried", "_value")
-
-
 def _level(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, _MARKS, 0), "[^>]", ""))
 
