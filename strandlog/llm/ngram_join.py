@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import written
+from .store import bounded_batches, written
 from .words import blocks, shingles, stream
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-4
@@ -220,6 +220,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     are null. Repeated rows are copies. An empty table gives an empty result.
     Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
     signed = written(keyed.mapInArrow(_signatures, "doc_id long, text_key binary, signature binary"), "signatures")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import ranked, written
+from .store import bounded_batches, ranked, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Rows that one ranking window holds.
@@ -146,6 +146,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
     gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     cut = written(pieces(docs, tokenizer, end_id, capacity), "pieces")
     counts = cut.groupBy("length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.collect()}  # at most capacity rows

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .store import bounded_batches
 from .words import Text, blocks, windows
 
 FEATURES = (
@@ -227,6 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     Null ids and labels are left out. Without labels, or with one class only,
     the score is the same for all texts.
     """
+    bounded_batches(docs.sparkSession)
     usable = labels.select("doc_id", F.col(label).alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (bucket_of(F.col("doc_id")) != 1))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
     # at most max_rows pairs of numbers

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import new_path, written
 
-__all__ = ["new_path", "ranked", "written"]
+__all__ = ["bounded_batches", "new_path", "ranked", "written"]
+
+#: Bytes of an Arrow batch; an executor holds several for each of its tasks, in the JVM and in Python.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session hold about BATCH_BYTES from here on (one row at least), unless it has a limit of its own.
+
+    Results do not depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def ranked(df: DataFrame, group: str, order: list[Column], spread: Column, counts: DataFrame, target: int, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .ngram_join import _groups
 from .mixing import size_of
-from .store import written
+from .store import bounded_batches, written
 from .words import Text, blocks, windows
 
 WINDOW, GRAM = 13, 5
@@ -296,6 +296,7 @@ def deduplicated(docs: DataFrame, batches: int = 2) -> DataFrame:
     An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     known = docs.where("doc_id is not null")
     index = FingerprintIndex(spark)
