@@ -29,6 +29,9 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 RANK_ROWS = 4096
 #: Beyond these characters two Unicode versions may split a text differently.
 _BEYOND_LATIN = re.compile("[^\x00-ɏ‐-‧€]")
+#: White space in one run that tiktoken gets at most; its splitter panics at about 1,000,000.
+SPACE_RUN = 100_000
+_LONG_SPACE = re.compile(rf"(?<!\s)\s{{{SPACE_RUN},}}")
 
 
 def encoder(path: str):
@@ -36,7 +39,9 @@ def encoder(path: str):
 
     A byte-level BPE is the same function in tiktoken, which is four times as
     fast: its ranks are the ids in the file's vocabulary. Texts with characters
-    beyond Latin, and any that it refuses, go through tokenizers itself.
+    beyond Latin or a long run of white space, and any that it refuses, go
+    through tokenizers itself. A special token's string in a text is ordinary
+    text, as the tokenizers' package says to read its file.
     """
     import json
 
@@ -69,7 +74,7 @@ def encoder(path: str):
     fast = tiktoken.Encoding("byte-level", pat_str=splits, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        if _BEYOND_LATIN.search(text):
+        if _BEYOND_LATIN.search(text) or len(text) >= SPACE_RUN and _LONG_SPACE.search(text):
             return by_tokenizers(text)
         try:
             return fast.encode_ordinary(text)

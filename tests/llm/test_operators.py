@@ -89,6 +89,16 @@ def test_packing_against_the_tokenizer():
     assert packing.pack(empty_documents(), tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("run", [" " * 1_000_001, "\n" * 1_000_001, "\x85" * 1_000_001, "\t \n" * 400_000, " " * 99_999 + "b" + " " * 100_001, "b" * 2_000_001, "!" * 1_000_001], ids=range(7))
+def test_packing_of_very_long_runs(run):
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(tokenizer_path())
+    encode.encode_special_tokens = True
+    for text in (f"a{run}b", run):
+        assert packing.encoder(tokenizer_path())(text) == encode.encode(text, add_special_tokens=False).ids
+
+
 def test_shortest_pack_first_uses_every_piece_once():
     histogram = {2048: 3, 1500: 4, 700: 5, 548: 2, 100: 40, 1: 7}
     found = packing.patterns(histogram, 2048)
