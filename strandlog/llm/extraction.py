@@ -2,7 +2,7 @@
 
 A page becomes a flat list of text blocks. Each has its word count, its link
 density, those of its two neighbours, the zone that it lies in (page furniture,
-neither, or article) and whether it is a heading. A decision tree, trained when
+named like furniture, neither, or article) and whether it is a heading. A decision tree, trained when
 the module is first used on the labelled table below, says which blocks are
 main text.
 """
@@ -31,13 +31,19 @@ FURNITURE_WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion replies respond".split())
 MAIN_WORDS = frozenset("article articlebody main maincontent".split())
+# Words that beside one of those in a name leave its meaning as it is ("site-footer", "share-buttons").
+NEUTRAL_WORDS = frozenset(
+    "area bar body bottom box button buttons container content entry footer form global group header inner item items left link links list menu meta outer page panel post posts primary "
+    "right row secondary section sections site slot sticky text thread title top unit wrap wrapper".split()
+)
 
 # Possessive, and without "<" outside quotes, so that a page of unclosed tags takes linear time.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\"><])*+)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"[ \t\n\f\r\v]+")
 _WORD_CUT = re.compile(r"[\s_-]+")
-FURNITURE_ZONE, PLAIN_ZONE, MAIN_ZONE = -1, 0, 1
+# Only elements, roles, hiding and comments make furniture for sure; a class or id may be wrong.
+FURNITURE_ZONE, NAMED_ZONE, PLAIN_ZONE, MAIN_ZONE = -1, -0.5, 0, 1
 
 FEATURES = ("zone", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after")
 # Labelled blocks, in the order of FEATURES, with 1 for main text.
@@ -57,6 +63,26 @@ LABELLED = (
     (0, 0, 1, 1.0, 1, 1.0, 1, 1.0, 0), (0, 0, 3, 1.0, 40, 0.0, 2, 1.0, 0), (0, 0, 12, 0.8, 30, 0.0, 25, 0.0, 0), (0, 0, 5, 0.0, 2, 1.0, 3, 0.6, 0),
     (0, 0, 8, 0.0, 20, 0.0, 0, 0.0, 0), (0, 0, 6, 0.5, 45, 0.0, 5, 0.0, 0), (0, 0, 2, 0.0, 1, 0.0, 3, 0.0, 0), (0, 1, 3, 0.0, 25, 0.0, 2, 1.0, 0),
     (0, 0, 30, 0.7, 4, 1.0, 6, 1.0, 0), (0, 1, 4, 0.9, 3, 1.0, 3, 1.0, 0),
+    # paragraphs before a block of links
+    (1, 0, 80, 0.0, 60, 0.0, 2, 1.0, 1), (1, 0, 35, 0.1, 50, 0.0, 1, 1.0, 1), (1, 0, 14, 0.0, 40, 0.0, 3, 1.0, 1), (1, 0, 60, 0.0, 1, 1.0, 1, 1.0, 1), (1, 0, 22, 0.0, 0, 0.0, 8, 0.9, 1),
+    (0, 0, 80, 0.0, 60, 0.0, 2, 1.0, 1), (0, 0, 35, 0.1, 50, 0.0, 1, 1.0, 1), (0, 0, 25, 0.0, 40, 0.0, 3, 1.0, 1), (0, 0, 60, 0.0, 1, 1.0, 1, 1.0, 1), (0, 0, 40, 0.0, 0, 0.0, 8, 0.9, 1),
+    (0, 0, 25, 0.15, 40, 0.0, 2, 1.0, 1), (0, 0, 28, 0.25, 50, 0.0, 8, 0.0, 1),
+    # blocks of links only before and between text, and lists of them
+    (0, 0, 1, 1.0, 0, 0.0, 60, 0.0, 0), (0, 0, 1, 1.0, 1, 1.0, 45, 0.0, 0), (0, 0, 3, 1.0, 2, 1.0, 90, 0.0, 0), (0, 0, 8, 0.9, 4, 1.0, 40, 0.0, 0), (0, 0, 2, 1.0, 50, 0.0, 60, 0.0, 0), (0, 0, 25, 0.9, 40, 0.0, 50, 0.0, 0),
+    (1, 0, 2, 1.0, 40, 0.0, 2, 1.0, 0), (1, 0, 3, 1.0, 2, 1.0, 3, 1.0, 0), (1, 0, 1, 1.0, 1, 1.0, 0, 0.0, 0), (1, 0, 6, 1.0, 5, 1.0, 40, 0.0, 0), (1, 0, 30, 0.9, 60, 0.0, 6, 1.0, 0), (1, 0, 4, 1.0, 1, 1.0, 70, 0.0, 0),
+    # prose with links in an article
+    (1, 0, 5, 0.4, 4, 0.0, 2, 0.0, 1), (1, 0, 6, 0.5, 30, 0.0, 20, 0.0, 1), (1, 0, 40, 0.5, 30, 0.0, 3, 1.0, 1), (1, 0, 12, 0.5, 40, 0.0, 1, 1.0, 1),
+    # elsewhere: short lines before long text, such as a date or a slogan after a menu
+    (0, 0, 3, 0.0, 1, 1.0, 60, 0.0, 0), (0, 0, 5, 0.0, 2, 1.0, 40, 0.0, 0),
+    # elsewhere: short lines that nothing long follows, such as a copyright line or the words before share links
+    (0, 0, 12, 0.0, 2, 1.0, 1, 1.0, 0), (0, 0, 14, 0.0, 5, 0.0, 4, 0.0, 0), (0, 0, 11, 0.0, 1, 1.0, 3, 1.0, 0), (0, 0, 16, 0.0, 3, 1.0, 0, 0.0, 0), (0, 0, 13, 0.0, 60, 0.0, 0, 0.0, 0),
+    (0, 0, 2, 0.0, 60, 0.0, 1, 1.0, 0), (0, 0, 4, 0.0, 45, 0.0, 0, 0.0, 0), (0, 0, 3, 0.0, 80, 0.0, 5, 1.0, 0), (0, 0, 6, 0.0, 70, 0.0, 3, 0.0, 0),
+    (0, 1, 6, 0.0, 1, 1.0, 3, 1.0, 0), (0, 1, 3, 0.0, 10, 0.0, 60, 0.0, 1), (0, 1, 2, 0.0, 60, 0.0, 2, 1.0, 0),
+    # named like furniture: short text and links are, long text without links isn't
+    (-0.5, 0, 1, 1.0, 1, 1.0, 1, 1.0, 0), (-0.5, 0, 2, 1.0, 50, 0.0, 60, 0.0, 0), (-0.5, 0, 12, 0.0, 30, 0.0, 25, 0.0, 0), (-0.5, 0, 28, 0.0, 60, 0.0, 70, 0.0, 0), (-0.5, 0, 50, 0.6, 50, 0.0, 6, 1.0, 0),
+    (-0.5, 0, 25, 0.1, 0, 0.0, 3, 1.0, 0), (-0.5, 0, 6, 0.0, 1, 1.0, 80, 0.0, 0), (-0.5, 1, 3, 0.0, 60, 0.0, 8, 0.9, 0), (-0.5, 0, 30, 0.1, 2, 0.0, 4, 0.5, 0), (-0.5, 0, 5, 0.0, 20, 0.0, 0, 0.0, 0), (-0.5, 1, 5, 0.0, 60, 0.0, 15, 0.0, 0),
+    (-0.5, 0, 60, 0.0, 70, 0.0, 80, 0.0, 1), (-0.5, 0, 45, 0.0, 1, 1.0, 60, 0.0, 1), (-0.5, 0, 120, 0.02, 60, 0.0, 3, 1.0, 1), (-0.5, 0, 70, 0.1, 8, 0.0, 0, 0.0, 1), (-0.5, 0, 50, 0.0, 40, 0.0, 1, 1.0, 1),
+    (-0.5, 1, 6, 0.0, 1, 1.0, 70, 0.0, 1), (-0.5, 1, 4, 0.0, 60, 0.0, 55, 0.0, 1),
 )
 
 
@@ -92,31 +118,54 @@ def is_main(node: tuple, row: tuple) -> bool:
     return node[0] >= 0.5
 
 
-def _zone(name: str, attributes: str, above: int, comments: bool) -> tuple[int, bool]:
+def _named(tokens: set[str], words: frozenset[str]) -> bool:
+    """Whether a whole token is one of words, or is made of them and neutral ones."""
+    for token in tokens:
+        parts = set(_WORD_CUT.split(token)) - {""}
+        if token in words or parts & words and parts <= words | NEUTRAL_WORDS | MAIN_WORDS:
+            return True
+    return False
+
+
+def _named_main(tokens: set[str]) -> bool:
+    for token in tokens:
+        parts = set(_WORD_CUT.split(token)) - {""}
+        if _WORD_CUT.sub("", token) in MAIN_WORDS or parts & MAIN_WORDS and not parts & (FURNITURE_WORDS | COMMENT_WORDS):
+            return True
+    return False
+
+
+def _zone(name: str, attributes: str, above: float, comments: bool) -> tuple[float, bool]:
     """(zone, inside reader comments) of a container below the zone ``above``."""
-    words: set[str] = set()
+    tokens: set[str] = set()
+    roles: set[str] = set()
     if attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
-            if key in ("class", "id", "role", "itemprop"):
-                words.update(x for part in value.split() for x in (part, *_WORD_CUT.split(part)))
+            if key in ("class", "id", "itemprop"):
+                tokens.update(value.split())
+            elif key == "role":
+                roles.update(value.split())
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                 return FURNITURE_ZONE, comments
-    if comments or words & COMMENT_WORDS:
+    main = name in ("article", "main") or bool(roles & MAIN_WORDS) or _named_main(tokens)
+    if comments or not main and _named(tokens | roles, COMMENT_WORDS):
         return FURNITURE_ZONE, True
-    if name in FURNITURE or words & FURNITURE_WORDS and name not in ("html", "body", "main", "article"):
+    if name in FURNITURE or roles & FURNITURE_WORDS and name not in ("html", "body", "main", "article"):
         return FURNITURE_ZONE, False
-    if name in ("article", "main") or words & MAIN_WORDS:
+    if main:
         return MAIN_ZONE, False
     if name == "header" and above != MAIN_ZONE:
         return FURNITURE_ZONE, False
+    if name not in ("html", "body") and _named(tokens, FURNITURE_WORDS):
+        return min(above, NAMED_ZONE), False
     return above, False
 
 
-def text_blocks(page: str) -> list[tuple[str, int, bool, int, int]]:
+def text_blocks(page: str) -> list[tuple[str, float, bool, int, int]]:
     """(text, zone, heading, words, words in links) of each block with text, in page order."""
-    out: list[tuple[str, int, bool, int, int]] = []
-    stack = [("", PLAIN_ZONE, False)]
+    out: list[tuple[str, float, bool, int, int]] = []
+    stack: list[tuple[str, float, bool]] = [("", PLAIN_ZONE, False)]
     parts: list[tuple[str, bool]] = []
     heading = link = False
 

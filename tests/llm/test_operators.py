@@ -368,6 +368,37 @@ def test_extraction_of_a_page():
     assert extraction.main_text(f"<body><div><a href=x>Home</a></div>{plain}<div><a href=y>Imprint</a></div></body>").count("\n") == 3
 
 
+def long_text(k):
+    return " ".join(f"word{k} of a sentence" for _ in range(15))
+
+
+@pytest.mark.parametrize(
+    "body, kept",
+    [
+        # paragraphs before links, in an article and without one
+        ("<article><p>{0}</p><p>{1}</p><ul><li><a href=x>Share</a></li><li><a href=y>Next</a></li></ul></article>", (0, 1)),
+        ("<div><p>{0}</p><p>{1}</p></div><div><a href=x>Previous</a></div><div><a href=y>Next</a></div>", (0, 1)),
+        ("<article><p>{0}</p><p><a href=x>related link</a></p><p><a href=y>other link</a></p></article>", (0,)),
+        # menu items before text
+        ("<div><a href=x>Home</a></div><div><a href=y>About us</a></div><div><p>{0}</p><p>{1}</p></div>", (0, 1)),
+        ("<div><div><a href=x>{2}</a></div><p>{0}</p></div>", (0,)),
+        # mislabelled zones: main words win, whole names count, long text in a doubtful zone stays
+        ("<div class='main ad-free share'><p>{0}</p><p>Short line here.</p><p>{1}</p></div>", "all"),
+        ("<div id='search-for-meaning'><p>{0}</p><p>{1}</p></div>", (0, 1)),
+        ("<div class='promo'><p>{0}</p><p>{1}</p></div>", (0, 1)),
+        # furniture stays furniture
+        ("<article><p>{0}</p></article><div class='cookie-banner'><p>We use cookies on this site.</p></div>", (0,)),
+        ("<div class='main-nav'><p>Choose a section of ours</p></div><article><p>{0}</p></article>", (0,)),
+        ("<article><p>{0}</p></article><div class='comment-list'><p>{1}</p></div><footer><p>{2}</p></footer>", (0,)),
+        ("<div><p>{0}</p><p>{1}</p></div><div>Share this</div><div><a href=x>Mail</a></div><div>Copyright of the publisher, all rights reserved in every country</div>", (0, 1)),
+    ],
+)
+def test_extraction_uses_a_blocks_own_words_and_links(body, kept):
+    texts = [long_text(k) for k in range(3)]
+    want = [texts[0], "Short line here.", texts[1]] if kept == "all" else [texts[k] for k in kept]
+    assert extraction.main_text(f"<html><body>{body.format(*texts)}</body></html>").split("\n") == want
+
+
 def test_extraction_of_the_given_pages():
     import html
 
