@@ -6,9 +6,13 @@ out-of-fold predictions, so a later model does not trust an earlier one more
 than it deserves on new texts. The last category is the label itself.
 
 Words are folded to lower case and hashed into buckets. Which buckets the
-models look at is decided by a count over the sample in Spark (documents of
-either class that have the bucket); the models are fitted on the driver from
-at most ``max_rows`` rows of at most ``width`` bits each.
+models look at is decided by a count in Spark over all labelled rows outside
+the held-out third (documents of either class that have the bucket); the models
+are fitted on the driver from at most ``max_rows`` rows of at most ``width``
+bits each. The labels name no category but the last. The earlier ones are
+learned: clusters of the buckets that toxic texts have more often, by the toxic
+texts that they share; a toxic text with a bucket of a cluster belongs to its
+category. Having one is a bit too.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from .store import written
 from .words import Text, blocks
 
 CATEGORIES = ("insult", "contempt", "toxic")
-# Seed words; a toxic text with one belongs to the category.
+# Rude words of the given documents, for tests; the models don't know them.
 SEEDS = {
     "insult": ("clown", "idiot", "loser", "moron", "scum", "trash"),
     "contempt": ("disgusting", "pathetic", "stupid", "worthless"),
@@ -46,31 +50,43 @@ def folded(text: Text) -> Text:
     return Text(_FOLD[text.data], text.docs)
 
 
-def _hash_words(words: tuple[str, ...]) -> np.ndarray:
-    raw = " ".join(words).encode()
-    return Text(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hashes()
+def _buckets(text: Text) -> tuple[np.ndarray, np.ndarray]:
+    """(document, bucket) of each distinct word bucket of a document."""
+    shift = np.uint64(BUCKET_BITS)
+    pairs = np.unique((text.doc_of_word().astype(np.uint64) << shift) | (text.hashes() >> np.uint64(64 - BUCKET_BITS)))
+    return (pairs >> shift).astype(np.int64), (pairs & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int32)
 
 
-def _buckets(text: Text) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(document, bucket) of each distinct word bucket of a document; whether each document has seeds of each category.
-
-    Having a seed of a category is a bucket too, behind those of the words.
-    """
-    hashes, of, shift = text.hashes(), text.doc_of_word(), np.uint64(BUCKET_BITS + 1)
-    has = [np.bincount(of[np.isin(hashes, _hash_words(SEEDS[c]))], minlength=text.n) > 0 for c in CATEGORIES[:-1]]
-    seeded = [(np.flatnonzero(h).astype(np.uint64) << shift) | np.uint64((1 << BUCKET_BITS) + k) for k, h in enumerate(has)]
-    pairs = np.unique(np.concatenate([(of.astype(np.uint64) << shift) | (hashes >> np.uint64(64 - BUCKET_BITS)), *seeded]))
-    return (pairs >> shift).astype(np.int64), (pairs & np.uint64((2 << BUCKET_BITS) - 1)).astype(np.int32), has
-
-
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, y, seeds of each category, buckets) of labelled rows (doc_id, y, text)."""
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, y, buckets) of labelled rows (doc_id, y, text)."""
     for part, plain in blocks(batches):
         text = folded(plain)
-        doc, bucket, has = _buckets(text)
-        own = [pa.array(h) for h in has]
+        doc, bucket = _buckets(text)
         lists = pa.ListArray.from_arrays(np.searchsorted(doc, np.arange(text.n + 1)).astype(np.int32), pa.array(bucket))
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own, lists], ["doc_id", "y", *CATEGORIES[:-1], "buckets"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["doc_id", "y", "buckets"])
+
+
+def clustered(x: np.ndarray, y: np.ndarray, strength: np.ndarray, n: int) -> list[np.ndarray]:
+    """n clusters of the columns of x with a positive strength, by cosine over the rows of class 1.
+
+    The strongest column begins the first cluster, and the column least like
+    those that have begun one the next; every other joins the one it is most
+    like. Clusters are empty where there are too few columns.
+    """
+    able = np.flatnonzero(strength > 0)
+    bits = x[y == 1][:, able].astype(float)
+    bits /= np.maximum(np.sqrt((bits**2).sum(0)), 1e-9)
+    like = bits.T @ bits
+    begun: list[int] = []
+    for _ in range(min(n, len(able))):
+        near = like[begun].max(0) if begun else np.zeros(len(able))
+        near[begun] = np.inf
+        begun.append(int(np.lexsort((-strength[able], np.round(near, 9)))[0]))
+    if not begun:
+        return [np.zeros(0, np.int64) for _ in range(n)]
+    of = np.argmax(like[begun], 0)
+    of[begun] = np.arange(len(begun))
+    return [able[of == k] for k in range(n)]
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 12) -> np.ndarray:
@@ -96,21 +112,29 @@ def predict(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Chain:
-    """The buckets looked at (ascending), and the weights of each category's model."""
+    """The buckets looked at (ascending), the weights of each category's model, and the clusters of buckets (their places)."""
 
     buckets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     weights: list[np.ndarray] = field(default_factory=list)
+    clusters: list[np.ndarray] = field(default_factory=list)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """(rows, categories) for rows of bits."""
+        x = _with_clusters(x, self.clusters)
         for w in self.weights:
             x = np.column_stack([x, predict(x, w)])
-        return x[:, len(self.buckets) :]
+        return x[:, len(self.buckets) + len(self.clusters) :]
+
+
+def _with_clusters(x: np.ndarray, clusters: list[np.ndarray]) -> np.ndarray:
+    """x and a bit a cluster: whether the row has any of its buckets."""
+    return np.column_stack([x, *(x[:, c].any(axis=1) for c in clusters)])
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, buckets: np.ndarray, fold: np.ndarray) -> Chain:
+def fit_chain(x: np.ndarray, labels: np.ndarray, buckets: np.ndarray, fold: np.ndarray, clusters: list[np.ndarray] | None = None) -> Chain:
     """labels: (rows, categories) in the order of the chain; fold: each row's fold."""
-    chain = Chain(buckets)
+    chain = Chain(buckets, clusters=clusters or [])
+    x = _with_clusters(x, chain.clusters)
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(float)
         chain.weights.append(fit_linear(x, y))
@@ -134,31 +158,35 @@ def _bits(doc: np.ndarray, bucket: np.ndarray, n: int, known: np.ndarray) -> np.
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, width: int = WIDTH) -> Chain:
     """Fits the chain on labelled documents outside the held-out third.
 
-    max_rows of them at most, chosen by a hash of the id; null ids and labels
-    are left out, and of rows that share an id the least counts. Without labels
-    every probability is one half.
+    Buckets are counted over all of them; the models see max_rows at most,
+    chosen by a hash of the id. Null ids and labels are left out, and of rows
+    that share an id the least counts. Without labels every probability is one
+    half. A category without a bucket of its own has the labels of the last.
     """
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (bucket_of(F.col("doc_id")) != 1))
-    sample = usable.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")  # max_rows ids at most
-    names = CATEGORIES[:-1]
-    seen = found.mapInArrow(_sampled, "doc_id long, y int, " + ", ".join(f"{c} boolean" for c in names) + ", buckets array<int>")
-    rows = seen.groupBy("doc_id", "y").agg(F.min(F.struct(*names, "buckets")).alias("s")).select("doc_id", "y", "s.*")
-    rows = written(rows, "toxicity-sample")
+    usable = usable.groupBy("doc_id").agg(F.min("y").alias("y"))
+    # one plan at every size: the labels may be too many to broadcast
+    found = docs.select("doc_id", "text").join(usable.hint("merge"), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
+    seen = found.mapInArrow(_labelled, "doc_id long, y int, buckets array<int>")
+    rows = written(seen.groupBy("doc_id", "y").agg(F.min("buckets").alias("buckets")), "toxicity-labelled")
     totals = rows.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
     if not totals["n"]:
         return Chain(weights=[np.zeros(k + 1) for k in range(len(CATEGORIES))])
     rate = (totals["p"] + 0.5) / (totals["n"] + 1)
     counts = rows.select("y", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("c"), F.sum("y").alias("c1"))
-    deviation = F.abs(F.col("c1") - F.col("c") * rate) / F.sqrt(F.col("c") * (rate * (1 - rate)))
-    chosen = counts.where(F.col("c") >= MIN_DOCS).withColumn("z", deviation).where(F.col("z") >= MIN_DEVIATION).orderBy(F.desc("z"), "bucket").limit(width)
-    known = np.array(sorted(r["bucket"] for r in chosen.select("bucket").collect()), np.int32)  # width rows at most
+    deviation = (F.col("c1") - F.col("c") * rate) / F.sqrt(F.col("c") * (rate * (1 - rate)))
+    chosen = counts.where(F.col("c") >= MIN_DOCS).withColumn("z", deviation).where(F.abs("z") >= MIN_DEVIATION).orderBy(F.desc(F.abs("z")), "bucket").limit(width)
+    picked = sorted((r["bucket"], r["z"]) for r in chosen.select("bucket", "z").collect())  # width rows at most
+    known = np.array([b for b, _ in picked], np.int32)
     kept = F.array_intersect("buckets", F.array(*[F.lit(int(b)) for b in known]).cast("array<int>"))
-    local = rows.select("doc_id", "y", *names, kept.alias("own")).orderBy("doc_id").collect()  # max_rows short rows at most
+    sample = rows.select("doc_id", "y", kept.alias("own")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    local = sorted(sample.collect(), key=lambda r: r["doc_id"])  # max_rows short rows at most
     sizes = [len(r["own"]) for r in local]
     x = _bits(np.repeat(np.arange(len(local)), sizes), np.array([b for r in local for b in r["own"]], np.int32), len(local), known)
-    y = np.array([[*(bool(r["y"]) and r[c] for c in names), r["y"]] for r in local], float)
-    return fit_chain(x, y, known, np.arange(len(local)) % FOLDS)
+    y = np.array([r["y"] for r in local], float)
+    clusters = clustered(x, y, np.array([z for _, z in picked]), len(CATEGORIES) - 1)
+    member = [y * x[:, c].any(axis=1) if len(c) else y for c in clusters]
+    return fit_chain(x, np.column_stack([*member, y]), known, np.arange(len(local)) % FOLDS, clusters)
 
 
 def scored(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -174,7 +202,7 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, plain in blocks(batches):
-            doc, bucket, _ = _buckets(folded(plain))
+            doc, bucket = _buckets(folded(plain))
             p = chain.probabilities(_bits(doc, bucket, plain.n, chain.buckets))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(p[:, k].astype(float)) for k in range(p.shape[1]))], ["doc_id", *CATEGORIES[:-1], "toxic_score"])
 

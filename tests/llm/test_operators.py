@@ -254,6 +254,35 @@ def test_toxicity_on_held_out_rows():
     assert {r["toxic_score"] for r in toxicity.scored(documents(), toxicity.train(docs, labels().limit(0))).collect()} == {0.5}
 
 
+def held_out_recall(found, known):
+    """(toxic held-out texts caught, of how many; clean ones taken for toxic, of how many), by the label."""
+    rows = found.where("held_out").join(known.withColumnRenamed("toxic", "y"), "doc_id").select("toxic", "y").collect()
+    caught, clean = ([r["toxic"] for r in rows if r["y"] == y] for y in (1, 0))
+    return sum(caught), len(caught), sum(clean), len(clean)
+
+
+def test_toxicity_learns_words_from_the_labels():
+    docs, known = (spark().read.parquet(f"{DATA}/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    other = docs
+    for k, word in enumerate(sorted(w for c in toxicity.SEEDS.values() for w in c)):
+        other = other.withColumn("text", F.regexp_replace("text", rf"(?i)\b{word}\b", f"qvorz{k}x"))
+    for texts in (docs, other):
+        chain = toxicity.train(texts, known)
+        found = toxicity.scored(texts, chain).cache()
+        caught, toxic, wrong, clean = held_out_recall(found, known)
+        assert toxic and caught / toxic > 0.8 and wrong / clean < 0.06
+        assert found.where("insult >= 0.5").count() and found.where("contempt >= 0.5").count()
+
+
+def test_clusters_follow_the_texts_that_buckets_share():
+    x = np.zeros((60, 5), np.float32)
+    x[0:10, 0] = x[5:15, 1] = x[20:30, 2] = x[25:35, 3] = x[40:60, 4] = 1
+    y = (np.arange(60) < 40).astype(float)
+    assert [c.tolist() for c in toxicity.clustered(x, y, np.array([9.0, 8, 7, 6, -5]), 2)] == [[0, 1], [2, 3]]
+    assert [len(c) for c in toxicity.clustered(x, y, np.array([9.0, -8, -7, -6, -5]), 2)] == [1, 0]
+    assert [len(c) for c in toxicity.clustered(x[:, :0], y, np.zeros(0), 2)] == [0, 0]
+
+
 def test_chain_passes_earlier_categories_on():
     x = np.eye(2)[[0, 1] * 200].astype(np.float32)
     first = (np.arange(400) % 2 == 0).astype(float)
