@@ -163,14 +163,16 @@ def chunk_sizes(spark, sf_dir):
 
 @query
 def stream_chunks(spark, sf_dir):
-    """chunk_roll by a stream: state a domain, the table as files that arrive."""
+    """chunk_roll by a stream: state a domain, the table as files that arrive.
+
+    No limit of files a batch: files needn't follow the order of ord.
+    """
     source = table(spark, sf_dir, "events")
     arriving = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
     seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     rows = entries.entries(arriving, F.col("event_type"), F.col("user_id"), F.col("props"), F.col("event_id"), seconds)
     out = new_path(spark, "stream")
-    stream = chunk_stream(rows, CHUNK_LIMIT).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
-    stream.awaitTermination()
+    chunk_stream(rows, out, f"{out}-state", CHUNK_LIMIT).awaitTermination()
     return spark.read.parquet(out).select("domain", "ord", "chunk", "pos")
 
 

@@ -2,58 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import key_hash
+from ..operators import chunks, ordering
 from ..schemas import CHUNK_BYTES
+from ..sources.shared import written
 
 CHUNKED = "domain string, ord long, chunk int, pos long"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class ChunkState(StatefulProcessor):
-    """Per domain: the open chunk, its bytes, the bytes written so far and the last entry id.
-
-    An entry with the id of the entry before it is a repeated delivery and is
-    dropped. Entries of a batch are taken in the order of ord, a bounded slice
-    of the domain at a time.
+#: Per domain: the open chunk, its bytes, the bytes written so far and the last entry id.
+OPEN = "domain string, chunk int, size long, pos long, last long"
+
+
+def _rolled_on(batch: DataFrame, state: DataFrame, limit: int) -> DataFrame:
+    """domain, ord, entry_id, size, pos, chunk, carried of a batch of entries and, as one entry a domain, the open chunks before it."""
+    rows = written(batch.select("domain", F.col("ord").cast("long").alias("ord"), F.col("entry_id").cast("long").alias("entry_id"), F.col("size").cast("long").alias("size")), "arrived")
+    firsts = rows.groupBy("domain").agg((F.min("ord") - 1).alias("ord"))
+    held = state.join(firsts, "domain").select("domain", "ord", F.col("last").alias("entry_id"), "size", F.lit(True).alias("carried"))
+    seen = ordering.previous(rows.withColumn("carried", F.lit(False)).unionByName(held), ["domain"], ["ord"], ["entry_id"])
+    fresh = seen.where(F.col("_previous").isNull() | (F.col("_previous.entry_id") != F.col("entry_id"))).drop("_previous")
+    summed = ordering.running_sum(fresh, ["domain"], ["ord"], F.col("size"), "_sum")
+    bases = state.select("domain", (F.col("pos") - F.col("size")).alias("_base"), F.col("chunk").alias("_chunk"))
+    placed = summed.join(bases, "domain", "left").withColumn("pos", F.col("_sum") + F.coalesce("_base", F.lit(0)))
+    found = chunks.rolled(placed, limit)
+    chunk = (F.col("chunk") + F.coalesce("_chunk", F.lit(0))).cast("int").alias("chunk")
+    return found.select("domain", "ord", "entry_id", "size", "pos", chunk, "carried")
+
+
+def chunk_stream(entries: DataFrame, path: str, checkpoint: str, limit: int = CHUNK_BYTES):
+    """Appends domain, ord, chunk, pos of a stream of entries (domain, ord, entry_id, size) to the table at path.
+
+    Each batch is rolled as ``chunks.rolled`` does, in range-sorted blocks, so
+    no task holds a domain; what it carries on is one row a domain. Entries of
+    a batch are taken in the order of ord, and all of them after those of the
+    batches before, also where their ord is smaller. An entry with the id of
+    the entry before it is a repeated delivery and is dropped.
     """
 
-    def __init__(self, limit: int):
-        self.limit = limit
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("chunk", "chunk int, size long, pos long, last long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        chunk, size, pos, last = self.state.get() if self.state.exists() else (0, 0, 0, -1)
-        batch = pd.concat(list(rows)).sort_values("ord", kind="stable")
-        out = []
-        for order, entry_id, nbytes in zip(batch["ord"].tolist(), batch["entry_id"].tolist(), batch["size"].tolist(), strict=True):
-            if entry_id == last:
-                continue
-            if size > self.limit:
-                chunk, size = chunk + 1, 0
-            out.append((key[0], order, chunk, pos))
-            size, pos, last = size + nbytes, pos + nbytes, entry_id
-        self.state.update((chunk, size, pos, last))
-        yield pd.DataFrame(out, columns=["domain", "ord", "chunk", "pos"])
-
-    def close(self) -> None:
-        pass
-
+    def add(batch: DataFrame, number: int) -> None:
+        reader = batch.sparkSession.read.schema(OPEN)
+        state = reader.parquet(f"{path}-open/batch={number - 1}") if number else batch.sparkSession.createDataFrame([], OPEN)
+        found = written(_rolled_on(batch, state, limit), "rolled")
+        # a batch that is run again writes its own folders again
+        found.where(~F.col("carried")).select("domain", "ord", "chunk", "pos").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        ends = found.groupBy("domain", "chunk").agg(F.sum("size").alias("size"), F.max(F.col("pos") + F.col("size")).alias("pos"), F.max_by("entry_id", "ord").alias("last"))
+        last = ends.groupBy("domain").agg(F.max(F.struct("chunk", "size", "pos", "last")).alias("s")).select("domain", "s.*")
+        last.unionByName(state.join(last, "domain", "left_anti")).write.mode("overwrite").parquet(f"{path}-open/batch={number}")
 
-def chunk_stream(entries: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
-    """domain, ord, chunk, pos of a stream of entries (domain, ord, entry_id, size)."""
-    spark = entries.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    slim = entries.select("domain", "ord", "entry_id", "size")
-    return slim.groupBy("domain").transformWithStateInPandas(ChunkState(limit), outputStructType=CHUNKED, outputMode="Append", timeMode="None")
+    return entries.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def posting_stream(entries: DataFrame, path: str, checkpoint: str):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandlog import functions as fn
 from strandlog.api import Archive, DomainExists, InvalidDomain
 from strandlog.operators import chunks, index, ordering, ring, sync
+from strandlog.streaming import chunk_stream
 
 from .session import spark
 
@@ -131,3 +132,29 @@ def test_guard():
     assert frame([(2**32 - 1,)], "n long").select(fn.guard_u32(F.col("n")).alias("n")).first()["n"] == 2**32 - 1
     with pytest.raises(Exception, match="unsigned"):
         frame([(2**32,)], "n long").select(fn.guard_u32(F.col("n")).alias("n")).collect()
+
+
+def test_chunk_stream_carries_open_chunks_over_batches(tmp_path):
+    session, rng, expected = spark(), random.Random(4), {}
+    fields = "domain string, ord long, entry_id long, size long"
+    batches = [[("a" if rng.random() < 0.8 else f"b{k}", k * 1000 + i, k * 1000 + i, rng.randrange(1, 60)) for i in range(300)] for k in range(1, 4)]
+    batches[1].insert(0, ("a", 1, 7, 11))  # a late ord comes after the batches before
+    last = max(r for r in batches[0] if r[0] == "a")
+    batches[1].insert(0, ("a", 0, last[2], 50))  # delivered again
+    state = {}
+    for k, rows in enumerate(batches):
+        part = tmp_path / f"part{k}"
+        session.createDataFrame(rows, fields).coalesce(1).write.parquet(str(part))
+        for domain, order, entry_id, size in sorted(rows):
+            chunk, held, pos, before = state.get(domain, (0, 0, 0, -1))
+            if entry_id == before:
+                continue
+            if held > 500:
+                chunk, held = chunk + 1, 0
+            expected[domain, order] = (chunk, pos)
+            state[domain] = (chunk, held + size, pos + size, entry_id)
+        out = str(tmp_path / "out")
+        arriving = session.readStream.schema(fields).parquet(str(tmp_path / "part*"))
+        chunk_stream(arriving, out, str(tmp_path / "state"), 500).awaitTermination()
+    found = session.read.parquet(out).collect()
+    assert {(r["domain"], r["ord"]): (r["chunk"], r["pos"]) for r in found} == expected and len(found) == len(expected)
