@@ -22,7 +22,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -220,9 +220,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     are null. Repeated rows are copies. An empty table gives an empty result.
     Other columns are ignored.
     """
+    return _classes(docs, threshold, tolerance).select("doc_id", "class_id", "text_id", "n_links")
+
+
+def _text_key() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+
+
+def _classes(docs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """near_duplicates with text_key, and head_key: that of the text of class_id (the least such one)."""
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), text.alias("text"))
     signed = written(keyed.mapInArrow(_signatures, "doc_id long, text_key binary, signature binary"), "signatures")
     classes = signed.groupBy("text_key").agg(F.min("doc_id").alias("text_id"))
     unique = signed.groupBy("text_key").agg(F.first("signature").alias("signature")).where("signature is not null")
@@ -252,18 +261,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     joined = components(verified.select(F.col("text_key").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("text_key").agg(F.sum("links").alias("n_links"))
     known = classes.join(links, "text_key", "left").join(joined.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
-    heads = known.groupBy("root").agg(F.min("text_id").alias("class_id"))
-    known = known.join(heads, "root").select("text_key", "class_id", "text_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.select("doc_id", "text_key").join(known, "text_key").select("doc_id", "class_id", "text_id", "n_links")
+    head = F.min(F.when(F.col("text_id").isNotNull(), F.struct("text_id", "text_key")))
+    heads = known.groupBy("root").agg(head.alias("head"))
+    known = known.join(heads, "root").select("text_key", F.col("head.text_id").alias("class_id"), F.col("head.text_key").alias("head_key"), "text_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return signed.select("doc_id", "text_key").join(known, "text_key").select("doc_id", "class_id", "text_id", "n_links", "text_key", "head_key")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """The rows of docs, with their columns, whose doc_id is the least of its class.
+    """The rows of docs, with their columns, whose doc_id and text are the first of their class.
 
-    Repeated rows with that id stay once. Rows without an id all stay: nothing
-    says which of them a decision is about.
+    Repeated rows with that id and text stay once; unrelated texts that share
+    an id are decided about each. Rows without an id all stay: nothing says
+    which of them a decision is about.
     """
-    classes = near_duplicates(docs, threshold, tolerance)
-    heads = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    classes = _classes(docs, threshold, tolerance)
+    heads = classes.where((F.col("doc_id") == F.col("class_id")) & (F.col("text_key") == F.col("head_key"))).select(F.col("doc_id").alias("_head_id"), F.col("text_key").alias("_head_key")).distinct()
+    keyed = docs.withColumn("_text_key", _text_key())
+    kept = keyed.join(heads, (F.col("doc_id") == F.col("_head_id")) & (F.col("_text_key") == F.col("_head_key")), "left_semi").dropDuplicates(["doc_id", "_text_key"])
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -211,6 +211,14 @@ def test_jaccard_join_on_odd_tables():
     assert ngram_join.near_duplicates(empty_documents()).count() == 0
 
 
+def test_one_of_each_with_different_texts_of_one_id():
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    rows = [(1, a), (5, a + " end"), (5, b), (5, b), (7, b + " end"), (8, c), (8, c + " end"), (9, c), (None, c)]
+    kept = ngram_join.one_of_each(spark().createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r["doc_id"] or 0, r["text"][0]) for r in kept)
+    assert found == [(0, "c"), (1, "a"), (5, "b"), (8, "c")]
+
+
 def test_jaccard_join_with_a_large_group():
     base = " ".join(f"w{i}" for i in range(100))
     rows = [(i, f"{base} t{i}") for i in range(700)]  # all alike, more than two blocks
