@@ -112,7 +112,7 @@ FROM s GROUP BY flags""",
     "stream_chunks": f"{_ROLL} SELECT domain, ord, chunk, pos FROM r",
     "owner_lookup": f"""WITH {RING}, q AS (SELECT event_id, md5(event_id::VARCHAR) AS request_id FROM events)
 SELECT event_id, request_id, coalesce(r.node, (SELECT node FROM r WHERE place = 0)) AS node FROM q ASOF LEFT JOIN r ON q.request_id >= r.node_id""",
-    "node_sort": f"WITH {NODES} SELECT 'ringo-' || upper(node_id) AS name, node_id FROM nodes",
+    "node_sort": f"WITH {NODES} SELECT 'strand-' || upper(node_id) AS name, node_id FROM nodes",
     "ring_neighbours": f"""WITH {RING} SELECT r.node_id, r.node, x.node AS previous_node, y.node AS next_node
 FROM r JOIN r x ON x.place = (r.place - 1 + r.total) % r.total JOIN r y ON y.place = (r.place + 1) % r.total""",
     "ring_health": f"""WITH {RING}, l AS (

@@ -187,8 +187,8 @@ def owner_lookup(spark, sf_dir):
 
 @query
 def node_sort(spark, sf_dir):
-    named = supplier_nodes(spark, sf_dir).select(F.concat(F.lit("ringo-"), F.upper("node_id")).alias("name"))
-    return ring.named_nodes(named, "name", "ringo-").select("name", "node_id")
+    named = supplier_nodes(spark, sf_dir).select(F.concat(F.lit("strand-"), F.upper("node_id")).alias("name"))
+    return ring.named_nodes(named, "name", "strand-").select("name", "node_id")
 
 
 @query

@@ -112,20 +112,20 @@ def test_ring_rules():
 
 def test_archive():
     store = Archive(spark(), tempfile.mkdtemp(prefix="spark-"))
-    store.create("muppets")
+    store.create("orchard")
     with pytest.raises(DomainExists):
-        store.create("muppets")
-    pairs = frame([(i, "bork" if i % 2 else f"k{i}", f"v{i}") for i in range(40)], "o long, key string, value string")
-    store.put("muppets", pairs, "o")
-    store.put("muppets", frame([(0, "bork", "last")], "o long, key string, value string"), "o")
-    assert [r["value"] for r in store.get("muppets", "bork").collect()] == [f"v{i}" for i in range(1, 40, 2)] + ["last"]
-    assert store.get_single("muppets", "bork") == "v1" and store.get("muppets", "no").count() == 0 and store.get("none", "bork").count() == 0
-    assert store.get_many("muppets", frame([("bork",), ("k0",), ("k0",)], "key string")).count() == 22
-    for bad, error in ((lambda: store.get_single("muppets", "no"), KeyError), (lambda: store.put("none", pairs, "o"), InvalidDomain)):
+        store.create("orchard")
+    pairs = frame([(i, "pear" if i % 2 else f"k{i}", f"v{i}") for i in range(40)], "o long, key string, value string")
+    store.put("orchard", pairs, "o")
+    store.put("orchard", frame([(0, "pear", "last")], "o long, key string, value string"), "o")
+    assert [r["value"] for r in store.get("orchard", "pear").collect()] == [f"v{i}" for i in range(1, 40, 2)] + ["last"]
+    assert store.get_single("orchard", "pear") == "v1" and store.get("orchard", "no").count() == 0 and store.get("none", "pear").count() == 0
+    assert store.get_many("orchard", frame([("pear",), ("k0",), ("k0",)], "key string")).count() == 22
+    for bad, error in ((lambda: store.get_single("orchard", "no"), KeyError), (lambda: store.put("none", pairs, "o"), InvalidDomain)):
         with pytest.raises(error):
             bad()
     with pytest.raises(Exception, match="key too large"):
-        store.put("muppets", frame([(1, "k" * 4096, "v")], "o long, key string, value string"), "o")
+        store.put("orchard", frame([(1, "k" * 4096, "v")], "o long, key string, value string"), "o")
 
 
 def test_guard():
