@@ -34,14 +34,14 @@ SPACE_RUN = 100_000
 _LONG_SPACE = re.compile(rf"(?<!\s)\s{{{SPACE_RUN},}}")
 
 
-def encoder(path: str):
-    """text -> ids, as the tokenizers library gives them for the file at path.
+def encoder(path: str, specials_are_text: bool = False):
+    """text -> ids, as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` gives them.
 
     A byte-level BPE is the same function in tiktoken, which is four times as
     fast: its ranks are the ids in the file's vocabulary. Texts with characters
-    beyond Latin or a long run of white space, and any that it refuses, go
-    through tokenizers itself. A special token's string in a text is ordinary
-    text, as the tokenizers' package says to read its file.
+    beyond Latin, a long run of white space or the string of an added token,
+    and any that it refuses, go through tokenizers itself. With
+    ``specials_are_text`` a special token's string is split like any other text.
     """
     import json
 
@@ -50,7 +50,7 @@ def encoder(path: str):
     from tokenizers.pre_tokenizers import ByteLevel
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    slow.encode_special_tokens = specials_are_text
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
 
@@ -68,13 +68,19 @@ def encoder(path: str):
         else:
             codes[chr(256 + extra)] = b
             extra += 1
-    special = {x["content"] for x in spec.get("added_tokens", [])}
+    added = spec.get("added_tokens", [])
+    special = {x["content"] for x in added}
+    # what the added tokens can be found by; one that is found in normalised or stripped text leaves its bare string in any case
+    told = [x["content"].strip() for x in added if not (specials_are_text and x.get("special"))]
+    apart = re.compile("|".join(map(re.escape, told))) if all(told) and told else None
+    if not all(told):
+        return by_tokenizers
     ranks = {bytes(codes[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     splits = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("byte-level", pat_str=splits, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        if _BEYOND_LATIN.search(text) or len(text) >= SPACE_RUN and _LONG_SPACE.search(text):
+        if _BEYOND_LATIN.search(text) or len(text) >= SPACE_RUN and _LONG_SPACE.search(text) or apart and apart.search(text):
             return by_tokenizers(text)
         try:
             return fast.encode_ordinary(text)
@@ -84,11 +90,11 @@ def encoder(path: str):
     return encode
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, specials_are_text: bool = False) -> DataFrame:
     """Pieces of each document (doc_id, text): its ids and end_id, cut every ``capacity`` ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, specials_are_text)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -142,17 +148,19 @@ def slots(found: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
     return rows
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, specials_are_text: bool = False) -> DataFrame:
     """Packs all documents (doc_id, text) into sequences of at most ``capacity`` ids.
 
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset. A null or empty text is one piece, its end id alone.
-    Repeated rows are packed each; a null doc_id stays null. An empty table
-    gives an empty result. Other columns are ignored.
+    Repeated rows are packed each; a null doc_id stays null. The string of a
+    special token in a text becomes that token's id, as the tokenizers library
+    does by default; ``specials_are_text`` keeps it ordinary text. An empty
+    table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    cut = written(pieces(docs, tokenizer, end_id, capacity), "pieces")
+    cut = written(pieces(docs, tokenizer, end_id, capacity, specials_are_text), "pieces")
     counts = cut.groupBy("length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.collect()}  # at most capacity rows
     places = spark.createDataFrame(slots(patterns(histogram, capacity)), "length long, low long, high long, sequence long, packs long, first long")

@@ -58,7 +58,6 @@ def check_packs(docs, found):
     from tokenizers import Tokenizer
 
     encode = Tokenizer.from_file(tokenizer_path())
-    encode.encode_special_tokens = True
     expected = defaultdict(list)
     for r in docs.select("doc_id", "text").collect():
         expected[r["doc_id"]].append([*encode.encode(r["text"] or "", add_special_tokens=False).ids, 1])
@@ -94,11 +93,21 @@ def test_packing_of_very_long_runs(run):
     from tokenizers import Tokenizer
 
     encode = Tokenizer.from_file(tokenizer_path())
-    encode.encode_special_tokens = True
     for text in (f"a{run}b", run):
         assert packing.encoder(tokenizer_path())(text) == encode.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_of_special_tokens_in_a_text():
+    from tokenizers import Tokenizer
+
+    plain, as_text = Tokenizer.from_file(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    as_text.encode_special_tokens = True
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext|", "日本 <|endoftext|>", " <|endoftext|>  é"):
+        for flag, one in ((False, plain), (True, as_text)):
+            assert packing.encoder(tokenizer_path(), flag)(text) == one.encode(text, add_special_tokens=False).ids
+    assert packing.encoder(tokenizer_path())("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
 def test_shortest_pack_first_uses_every_piece_once():
     histogram = {2048: 3, 1500: 4, 700: 5, 548: 2, 100: 40, 1: 7}
     found = packing.patterns(histogram, 2048)
