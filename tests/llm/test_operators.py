@@ -15,6 +15,7 @@ from strandlog.llm import extraction, fingerprints, mixing, ngram_join, packing,
 from strandlog.llm.queries import QUERIES
 
 from ..session import DATA, spark
+from . import pages
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -445,11 +446,40 @@ def test_extraction_uses_a_blocks_own_words_and_links(body, kept):
     assert extraction.main_text(f"<html><body>{body.format(*texts)}</body></html>").split("\n") == want
 
 
+@pytest.mark.parametrize("shape", pages.SHAPES)
+def test_extraction_by_page_shape(shape):
+    precision, recall = pages.quality(extraction.main_text, shape, range(100, 200))
+    assert precision > 0.99 and recall > 0.99
+
+
+LONG = " ".join(f"word{k} goes here" for k in range(20)) + "."
+
+
+@pytest.mark.parametrize(
+    "body, kept",
+    [
+        ("<article><p>{0}</p></article><footer><a href=x>Home</a> <a href=y>Help</a></footer>", [LONG]),
+        ("<div><p>{0}</p></div><ul><li><a href=x>Home</a><li><a href=y>Help</a></ul>", [LONG]),
+        ("<div><a href=a>Home</a> <a href=b>News</a> <a href=c>Shop</a></div><div><p>{0}</p></div>", [LONG]),
+        ("<article><p>{0}</p><p>See</p><p><a href=x>this linked line</a></p></article>", [LONG, "See", "this linked line"]),
+        ("<p>Short line.</p><p>Another one here.</p><p>It ends.</p>", ["Short line.", "Another one here.", "It ends."]),
+        ("<article><p>{0}</p></article><a href=x><div>Card</div></a><a href=y><div>Another card of this site.</div></a>", [LONG]),
+        ("<article><section class=discussion><h2>Discussion</h2><p>{0}</p></section></article>", ["Discussion", LONG]),
+        ("<p><a href=x>never closed <p>{0}<p>{0}", [LONG, LONG]),
+        ("<form><p>{0}</p></form><article class=comment><p>{0}</p></article>", [LONG]),
+        ("<p class=notice>A short notice of the site.</p><p>{0}</p>", [LONG]),
+        ("<article><h1>T</h1><table><tr><td>a<td>12<tr><td>b<td>7</table></article>", ["T", "a", "12", "b", "7"]),
+    ],
+)
+def test_extraction_of_single_layouts(body, kept):
+    assert extraction.main_text(f"<html><body>{body.format(LONG)}</body></html>").split("\n") == kept
+
+
 def test_extraction_of_the_given_pages():
     import html
 
-    pages = spark().read.parquet(f"{DATA}/sf0.01/pages.parquet")
-    for r in extraction.extracted(pages).join(pages.select("page_id", "html"), "page_id").collect():
+    given = spark().read.parquet(f"{DATA}/sf0.01/pages.parquet")
+    for r in extraction.extracted(given).join(given.select("page_id", "html"), "page_id").collect():
         article = re.search(r"<article>(.*)</article>", r["html"], re.DOTALL)[1]
         blocks = [re.sub(r"<[^>]*>", " ", x) for x in re.split(r"</?(?:h1|p)>", article)]
         expected = [x for x in (re.sub(r"[ \t\n\f\r\v]+", " ", html.unescape(x)).strip(" ") for x in blocks) if x]
