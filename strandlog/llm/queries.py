@@ -72,7 +72,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import deduplicated
 
-    return deduplicated(_table(spark, sf_dir, "documents")).drop("kept")
+    return deduplicated(_table(spark, sf_dir, "documents"), more=())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
