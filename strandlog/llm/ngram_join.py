@@ -10,9 +10,14 @@
    A pair that meets in several buckets counts in the first only.
 4. The pairs that are left are verified on their whole shingle sets, exactly.
 
-A bucket of any size is cut into blocks, and a task sees two blocks at most.
-Pairs stay inside tasks: a task returns each class's number of links and a
-spanning forest, so the rows grow with the classes, not with their pairs.
+A bucket of any size is cut into blocks of a bounded number of members and of
+shingle bytes, and a task sees two blocks at a time. Pairs stay inside tasks:
+the pruning tells only which members have a pair left, verification finds the
+pairs again beside the shingle sets, and returns each class's number of links
+and a spanning forest, so the rows grow with the members of blocks, not with
+their pairs. A class's exact number of links needs all of a bucket's pairs of
+blocks: for members whose texts differ, work and rows sent grow with the square
+of a bucket over BLOCK.
 """
 
 from __future__ import annotations
@@ -32,8 +37,8 @@ from .words import blocks, shingles, stream
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-4
 BANDS, ROWS = 24, 4
 HASHES, STEP = BANDS * ROWS, 16
-#: Members of a bucket's block; a task compares two blocks.
-BLOCK = 256
+#: Members of a bucket's block and bytes of their shingle sets, about; a task compares two blocks.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 _LEAST_ID = -(2**63)
 
 
@@ -69,7 +74,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[bytes | None] = [None] * text.n
         for row, d in enumerate(some.tolist()):
             own[d] = values[row].tobytes()
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.binary())], ["doc_id", "text_key", "signature"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.binary()), pa.array(np.diff(offs), pa.int64())], ["doc_id", "text_key", "signature", "n_shingles"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +83,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, HASHES)
             keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(values)), BANDS)))
             band = np.tile(np.arange(BANDS, dtype=np.int32), len(values))
-            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(band_hashes(values).view(np.int64).ravel()), keys], ["band", "bucket", "text_key"])
+            sizes = batch.column(2).take(pa.array(np.repeat(np.arange(len(values)), BANDS)))
+            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(band_hashes(values).view(np.int64).ravel()), keys, sizes], ["band", "bucket", "text_key", "n_shingles"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -118,34 +124,46 @@ def _compared(block: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarr
     return i.ravel(), j.ravel()
 
 
+def _left(band: int, block: np.ndarray, lo: int, hi: int, values: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of one group that meet here first and that the posterior does not drop."""
+    left, right = _compared(block, lo, hi)
+    if band:
+        hashed = band_hashes(values)
+        new = ~(hashed[left, :band] == hashed[right, :band]).any(1)
+        left, right = left[new], right[new]
+    agree = np.zeros(len(left), np.int32)
+    for n, m in least.items():
+        agree += (values[left, n - STEP : n] == values[right, n - STEP : n]).sum(1, dtype=np.int32)
+        keep = agree >= m
+        left, right, agree = left[keep], right[keep], agree[keep]
+    return left, right
+
+
+_GROUP = ["band", "bucket", "lo", "hi", "text_key", "block", "signature"]
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(table, first row, rows with a text_key once, their blocks, their signatures) of each group of rows of _GROUP."""
+    for table in _groups(batches, 4):
+        columns = [table.column(k).to_numpy() for k in range(4)]
+        keys, blocks_, signatures = table.column(4).to_pylist(), table.column(5).to_numpy(), table.column(6).to_pylist()
+        edges = [0, *_changes(columns).tolist(), len(keys)]
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            once = {}
+            for k in range(s, e):
+                once.setdefault(keys[k], k)  # repeated rows fall together
+            rows = np.fromiter(once.values(), np.int64, len(once))
+            yield table, s, rows, blocks_[rows], np.frombuffer(b"".join(signatures[k] for k in rows.tolist()), np.uint32).reshape(-1, HASHES)
+
+
 def _pruned(least: dict[int, int]):
+    """The rows of _GROUP that have a pair left."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 4):
-            band, bucket, lo, hi = (table.column(k).to_numpy() for k in range(4))
-            keys, block = table.column(4).to_pylist(), table.column(5).to_numpy()
-            values = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint32).reshape(-1, HASHES)
-            hashed = band_hashes(values)
-            edges = [0, *_changes([band, bucket, lo, hi]).tolist(), len(band)]
-            out: list[tuple] = []
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                left, right = _compared(block[s:e], lo[s], hi[s])
-                left, right = left + s, right + s
-                if band[s]:
-                    new = ~(hashed[left, : band[s]] == hashed[right, : band[s]]).any(1)
-                    left, right = left[new], right[new]
-                agree = np.zeros(len(left), np.int32)
-                for n, m in least.items():
-                    agree += (values[left, n - STEP : n] == values[right, n - STEP : n]).sum(1, dtype=np.int32)
-                    keep = agree >= m
-                    left, right, agree = left[keep], right[keep], agree[keep]
-                partners: dict[int, list[bytes]] = {x: [] for x in np.union1d(left, right).tolist()}
-                for x, y in zip(left.tolist(), right.tolist(), strict=True):
-                    partners[x].append(keys[y])
-                out.extend((band[s], bucket[s], lo[s], hi[s], keys[x], b"".join(ys)) for x, ys in partners.items())
-            if out:
-                columns = list(zip(*out, strict=True))
-                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["band", "bucket", "lo", "hi", "text_key", "partners"])
+        for table, s, rows, block, values in _each(batches):
+            left, right = _left(table.column(0)[s].as_py(), block, table.column(2)[s].as_py(), table.column(3)[s].as_py(), values, least)
+            if len(left):
+                yield from table.take(pa.array(rows[np.union1d(left, right)])).combine_chunks().to_batches()
 
     return run
 
@@ -157,31 +175,28 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["text_key", "shingles"])
 
 
-def _verified(threshold: float):
+def _verified(least: dict[int, int], threshold: float):
+    """(text_key, links, root of its tree) of the members of each group (_GROUP and shingles) that have links."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 4):
-            columns = [table.column(k).to_numpy() for k in range(4)]
-            keys, partners, sets = (table.column(k).to_pylist() for k in (4, 5, 6))
-            edges = [0, *_changes(columns).tolist(), len(keys)]
-            out: list[tuple[bytes, int, bytes]] = []
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                out += _links(keys[s:e], partners[s:e], sets[s:e], threshold)
-            if out:
-                key, links, root = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(links, pa.int64()), pa.array(root, pa.binary())], ["text_key", "links", "root"])
+        for table, s, rows, block, values in _each(batches):
+            left, right = _left(table.column(0)[s].as_py(), block, table.column(2)[s].as_py(), table.column(3)[s].as_py(), values, least)
+            if not len(left):
+                continue
+            sets = [np.frombuffer(table.column(7)[k].as_buffer(), np.uint64) for k in rows.tolist()]
+            links, root = _links(left, right, sets, threshold)
+            some = np.flatnonzero(links)
+            keys = table.column(4).combine_chunks()
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows[some])), pa.array(links[some]), keys.take(pa.array(rows[root[some]]))], ["text_key", "links", "root"])
 
     return run
 
 
-def _links(keys: list[bytes], partners: list[bytes], sets: list[bytes], threshold: float) -> list[tuple[bytes, int, bytes]]:
-    """(key, verified links, root of its tree) of the members of one group that have links."""
-    rows = {k: (p, np.frombuffer(x, np.uint64)) for k, p, x in zip(keys, partners, sets, strict=True)}  # repeated rows fall together
-    names = list(rows)
-    at = {k: i for i, k in enumerate(names)}
-    own = [rows[k][1] for k in names]
-    ids = np.unique(np.concatenate(own))
-    own = [np.searchsorted(ids, x) for x in own]
-    mark, links, root = np.zeros(len(ids), bool), [0] * len(names), list(range(len(names)))
+def _links(left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links, and the root of its tree, of each set; left and right are pairs of sets to compare."""
+    ids = np.unique(np.concatenate([sets[k] for k in np.union1d(left, right).tolist()]))
+    mark, links, root = np.zeros(len(ids), bool), np.zeros(len(sets), np.int64), list(range(len(sets)))
+    places: dict[int, np.ndarray] = {}
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -189,22 +204,30 @@ def _links(keys: list[bytes], partners: list[bytes], sets: list[bytes], threshol
             x = root[x]
         return x
 
-    for i, k in enumerate(names):
-        packed = rows[k][0]
-        if not packed:
-            continue
-        mark[own[i]] = True
-        for o in range(0, len(packed), 16):
-            j = at[packed[o : o + 16]]
-            common = int(np.count_nonzero(mark[own[j]]))
-            if common >= threshold * (len(own[i]) + len(own[j]) - common) - 1e-9:
+    def own(x: int) -> np.ndarray:
+        if x not in places:
+            places[x] = np.searchsorted(ids, sets[x]).astype(np.int32)
+        return places[x]
+
+    order = np.argsort(left, kind="stable")
+    left, right = left[order], right[order]
+    edges = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1], [True]]))
+    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        i = int(left[s])
+        mark[own(i)] = True
+        for j in right[s:e].tolist():
+            n, m = len(sets[i]), len(sets[j])
+            if min(n, m) < threshold * max(n, m) - 1e-9:
+                continue
+            common = int(np.count_nonzero(mark[own(j)]))
+            if common >= threshold * (n + m - common) - 1e-9:
                 links[i] += 1
                 links[j] += 1
                 a, b = find(i), find(j)
                 if a != b:
                     root[max(a, b)] = min(a, b)
-        mark[own[i]] = False
-    return [(k, links[i], names[find(i)]) for i, k in enumerate(names) if links[i]]
+        mark[own(i)] = False
+    return links, np.array([find(x) for x in range(len(sets))])
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -232,30 +255,32 @@ def _classes(docs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), text.alias("text"))
-    signed = written(keyed.mapInArrow(_signatures, "doc_id long, text_key binary, signature binary"), "signatures")
+    signed = written(keyed.mapInArrow(_signatures, "doc_id long, text_key binary, signature binary, n_shingles long"), "signatures")
     classes = signed.groupBy("text_key").agg(F.min("doc_id").alias("text_id"))
-    unique = signed.groupBy("text_key").agg(F.first("signature").alias("signature")).where("signature is not null")
+    unique = signed.groupBy("text_key").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")).where("signature is not null")
 
-    banded = unique.select("text_key", "signature").mapInArrow(_bands, "band int, bucket long, text_key binary")
+    banded = unique.select("text_key", "signature", "n_shingles").mapInArrow(_bands, "band int, bucket long, text_key binary, n_shingles long")
     banded = written(banded, "bands")
     member = F.xxhash64("text_key")
-    sizes = banded.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.bit_xor(member).alias("x"), F.sum(member.cast("decimal(20,0)")).alias("s")).where("n > 1")
-    kept = sizes.groupBy("n", "x", "s").agg(F.min(F.struct("band", "bucket")).alias("k")).select("k.band", "k.bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = banded.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.bit_xor(member).alias("x"), F.sum(member.cast("decimal(20,0)")).alias("s"), F.sum("n_shingles").alias("bytes")).where("n > 1")
+    cuts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(8 * F.col("bytes") / BLOCK_BYTES)).cast("int")
+    kept = sizes.groupBy("n", "x", "s").agg(F.min(F.struct("band", "bucket", cuts.alias("blocks"))).alias("k")).select("k.*")
     block = F.pmod(F.xxhash64("text_key", F.lit(1)), F.col("blocks")).cast("int")
     grouped = banded.join(kept, ["band", "bucket"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     grouped = grouped.select("band", "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "text_key", "block")
     group = ["band", "bucket", "lo", "hi"]
-    compared = grouped.join(unique, "text_key").select(*group, "text_key", "block", "signature")
+    compared = grouped.join(unique.select("text_key", "signature"), "text_key").select(*_GROUP)
     least = needed_matches(threshold, tolerance, HASHES, STEP)
-    pruned = compared.repartition(*group).sortWithinPartitions(*group).mapInArrow(_pruned(least), "band int, bucket long, lo int, hi int, text_key binary, partners binary")
+    fields = "band int, bucket long, lo int, hi int, text_key binary, block int, signature binary"
+    pruned = compared.repartition(*group).sortWithinPartitions(*group).mapInArrow(_pruned(least), fields)
     pruned = written(pruned, "candidates")
 
     id_of = F.coalesce(F.col("doc_id"), F.lit(_LEAST_ID))
     wanted = pruned.select("text_key").distinct().join(classes, "text_key").select("text_key", F.coalesce("text_id", F.lit(_LEAST_ID)).alias("_id"))
     texts = keyed.withColumn("_id", id_of).join(wanted, ["text_key", "_id"], "left_semi").select("text_key", "text")
     sets = texts.mapInArrow(_sets, "text_key binary, shingles binary")
-    full = pruned.join(sets, "text_key").select(*group, "text_key", "partners", "shingles")
-    verified = full.repartition(*group).sortWithinPartitions(*group).mapInArrow(_verified(threshold), "text_key binary, links long, root binary")
+    full = pruned.join(sets, "text_key").select(*_GROUP, "shingles")
+    verified = full.repartition(*group).sortWithinPartitions(*group).mapInArrow(_verified(least, threshold), "text_key binary, links long, root binary")
     verified = written(verified, "links")
 
     joined = components(verified.select(F.col("text_key").alias("a"), F.col("root").alias("b")))
