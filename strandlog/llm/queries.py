@@ -108,9 +108,9 @@ FROM k
 
 
 def _oracles() -> dict[str, str]:
-    from .mixing import ORACLE_SQL
+    from . import mixing, quality_rules
 
-    return {"op9_mixing": ORACLE_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op2_quality_rules": quality_rules.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_substring_dedup": OP10_SQL}
 
 
 ORACLES: dict[str, str] = _oracles()
