@@ -1,10 +1,14 @@
 """Chat formatting: quotation linking and reply order.
 
 1. Lines of a message that begin with ``>`` marks are quoted; the number of
-   marks is their level. Every other line is the message's own.
-2. Quoted lines are normalised and hashed, and joined to the latest earlier
-   message of the conversation with that line of its own. The message that the
-   most lines of the lowest linked level come from is the parent.
+   marks is their level. Consecutive lines of one level are a passage, so where
+   a mail program broke its lines does not matter. What is left is the
+   message's own text.
+2. Passages are normalised and hashed: every run of ``WINDOW`` words, and each
+   shorter sentence, line or passage as a whole. The hashes are joined to those
+   of the latest earlier message of the conversation whose own text has them.
+   The message that the most hashes of the lowest linked level come from is the
+   parent.
 3. Messages without a linked quote answer the message before them. Runs of
    messages of which each answers the one before form a segment; segments form
    a tree, whose depth-first order comes from ranking its Euler tour by pointer
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 from ..operators.ordering import latest, numbered
 from .store import written
 
+#: Words of a run that is hashed.
+WINDOW = 6
 _MARKS = r"^[ \t]*(?:>[ \t]*)+"
 # How a line before a quote names its author.
 _ATTRIBUTION = r"(?i)\b(wrote|writes|schrieb|écrit|escribió)\s*:\s*$"
@@ -32,43 +38,73 @@ def _level(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, _MARKS, 0), "[^>]", ""))
 
 
-def _key(line: Column) -> Column:
-    """Hash of a line without marks, in lower case, its white space one space; null if nothing is left."""
-    plain = F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, _MARKS, "")), r"\s+", " "))
-    return F.when(plain != "", F.xxhash64(plain))
+def _plain(text: Column) -> Column:
+    """Without marks, in lower case, white space as one space."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, _MARKS, "")), r"\s+", " "))
+
+
+def _keys(text: Column, lines: Column) -> Column:
+    """Hashes of a passage (normalised) and its lines: its runs of WINDOW words, and shorter sentences, lines and itself whole."""
+    words = F.split(text, " ")
+    runs = F.when(F.size(words) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(words) - WINDOW + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, WINDOW), " ")))).otherwise(F.array().cast("array<bigint>"))
+    units = F.concat(F.split(text, r"(?<=[.!?…]) "), lines, F.array(text))
+    short = F.filter(units, lambda u: (u != "") & (F.size(F.split(u, " ")) < WINDOW))
+    return F.array_distinct(F.concat(runs, F.transform(short, lambda u: F.xxhash64(u))))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """Adds ``lines``: (level, key, text) of each line; an attribution before a quote has the level of the quote and no key."""
+    """Adds ``quotes`` (whether a line is quoted) and ``passages``: (level, lines) of each run of lines of one level.
+
+    A line that announces a deeper quote has that quote's level and no text.
+    """
     raw = F.split(F.coalesce(F.col("text"), F.lit("")), "\r\n|\n|\r")
     rows = messages.withColumn("_raw", raw).withColumn("_levels", F.transform("_raw", _level))
 
     def line(text: Column, at: Column) -> Column:
         level, after = F.get("_levels", at), F.coalesce(F.get("_levels", at + 1), F.lit(0))
-        naming = (level == 0) & (after > 0) & text.rlike(_ATTRIBUTION)
-        return F.struct(F.when(naming, after).otherwise(level).alias("level"), F.when(~naming, _key(text)).alias("key"), text.alias("text"))
+        naming = (after > level) & text.rlike(_ATTRIBUTION)
+        return F.struct(F.when(naming, after).otherwise(level).alias("level"), F.when(~naming, text).otherwise(F.lit("")).alias("text"))
+
+    rows = rows.withColumn("quotes", F.exists("_levels", lambda x: x > 0))
+    rows = rows.withColumn("_lines", F.when(F.col("quotes"), F.transform("_raw", line)))
+    level = lambda at: F.get("_lines", at)["level"]
+    every = F.sequence(F.lit(0), F.size("_lines") - 1)
+    rows = rows.withColumn("_starts", F.filter(every, lambda i: (i == 0) | (level(i) != level(i - 1))))
+
+    def passage(start: Column, at: Column) -> Column:
+        end = F.coalesce(F.get("_starts", at + 1), F.size("_lines"))
+        return F.struct(level(start).alias("level"), F.transform(F.slice("_lines", start + 1, end - start), lambda l: l["text"]).alias("lines"))
+
+    whole = F.array(F.struct(F.lit(0).alias("level"), F.col("_raw").alias("lines")))
+    return rows.withColumn("passages", F.when(F.col("quotes"), F.transform("_starts", passage)).otherwise(whole)).drop("_raw", "_levels", "_lines", "_starts")
+
 
-    plain = F.transform("_raw", lambda text: F.struct(F.lit(0).alias("level"), F.lit(None).cast("long").alias("key"), text.alias("text")))
-    quoting = F.exists("_levels", lambda x: x > 0)
-    return rows.withColumn("quotes", quoting).withColumn("lines", F.when(quoting, F.transform("_raw", line)).otherwise(plain)).drop("_raw", "_levels")
+def _hashed(rows: DataFrame, quoted: bool) -> DataFrame:
+    """(conv_id, place, passage, level, key) of the quoted or the own passages."""
+    each = rows.select("conv_id", "place", F.posexplode("passages").alias("passage", "p")).where(F.col("p.level") > 0 if quoted else F.col("p.level") == 0)
+    lines = F.transform("p.lines", _plain)
+    plain = each.select("conv_id", "place", "passage", F.col("p.level").alias("level"), lines.alias("_lines"))
+    plain = plain.withColumn("_text", F.array_join(F.filter("_lines", lambda l: l != ""), " "))
+    return plain.select("conv_id", "place", "passage", "level", F.explode(_keys(F.col("_text"), F.col("_lines"))).alias("key"))
 
 
 def _parents(rows: DataFrame) -> DataFrame:
-    """(place, parent, n_linked) of the messages with a linked quote."""
-    quoted = rows.where("quotes").select("conv_id", "place", F.explode("lines").alias("l")).where("l.level > 0 and l.key is not null")
-    quoted = quoted.groupBy("conv_id", F.col("l.key").alias("key"), "place").agg(F.min("l.level").alias("level"), F.count("*").alias("n"))
-    wanted = quoted.select("conv_id", "key").distinct()
-    talks = quoted.select("conv_id").distinct()
-    texts = rows.join(talks, "conv_id", "left_semi").select("conv_id", "place", F.explode("lines").alias("l")).where("l.level = 0")
-    own = texts.select("conv_id", "place", F.coalesce(F.col("l.key"), _key(F.col("l.text"))).alias("key")).where("key is not null").distinct().join(wanted, ["conv_id", "key"], "left_semi")
+    """(place, parent, n_linked) of the messages with a linked quote; n_linked counts passages."""
+    asking = rows.where("quotes")
+    quoted = _hashed(asking, True).groupBy("conv_id", "key", "place").agg(F.min(F.struct("level", "passage")).alias("first"))
+    quoted = written(quoted.select("conv_id", "key", "place", "first.level", "first.passage"), "quoted")
+    talks = asking.select("conv_id").distinct()
+    own = _hashed(rows.join(talks, "conv_id", "left_semi"), False).select("conv_id", "place", "key").distinct()
+    own = own.join(quoted.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi")
     # at one place the quoting row comes first: a message does not quote itself
-    both = quoted.select("conv_id", "key", "place", F.lit(0).alias("kind"), "level", "n").unionByName(own.select("conv_id", "key", "place", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("n")))
+    both = quoted.withColumn("kind", F.lit(0)).unionByName(own.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     source = F.when(F.col("kind") == 1, F.struct("conv_id", "key", "place"))
     filled = latest(both, ["conv_id", "key", "place", "kind"], source, "quotes")
     linked = filled.where((F.col("kind") == 0) & (F.col("_latest.conv_id") == F.col("conv_id")) & (F.col("_latest.key") == F.col("key")))
-    votes = linked.groupBy("place", "level", F.col("_latest.place").alias("parent")).agg(F.sum("n").alias("lines"))
-    best = F.max_by("parent", F.struct(-F.col("level"), "lines", "parent"))
-    return votes.groupBy("place").agg(best.alias("parent"), F.sum("lines").alias("n_linked"))
+    votes = linked.groupBy("place", "level", F.col("_latest.place").alias("parent")).agg(F.count("*").alias("hits"))
+    passages = linked.groupBy("place").agg(F.count_distinct("passage").alias("n_linked"))
+    best = F.max_by("parent", F.struct(-F.col("level"), "hits", "parent"))
+    return votes.groupBy("place").agg(best.alias("parent")).join(passages, "place")
 
 
 def _tour(segments: DataFrame) -> DataFrame:
@@ -99,7 +135,7 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     Returns conv_id, turn, role; parent_turn (of the message that it answers;
     null for a first one); linked (whether a quote told so); position (from 0,
     depth first: answers follow what they answer, earlier ones first);
-    n_quoted_lines and n_linked_lines; text (without quoted lines and the lines
+    n_quoted and n_linked (passages); text (without quoted lines and the lines
     that announce them, trimmed).
 
     Earlier means a smaller turn; rows that share one follow in the order of
@@ -113,9 +149,9 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     rows = written(parsed(rows), "messages")
     links = written(_parents(rows), "links")
 
-    own = F.array_join(F.transform(F.filter("lines", lambda l: l["level"] == 0), lambda l: l["text"]), "\n")
-    quoted = F.size(F.filter("lines", lambda l: (l["level"] > 0) & l["key"].isNotNull())).cast("long")
-    slim = rows.select("conv_id", "turn", "role", "place", F.trim(F.regexp_replace(own, r"^\s+|\s+$", "")).alias("text"), quoted.alias("n_quoted_lines")).join(links, "place", "left")
+    own = F.array_join(F.flatten(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["lines"])), "\n")
+    quoted = F.size(F.filter("passages", lambda p: (p["level"] > 0) & F.exists(p["lines"], lambda l: _plain(l) != ""))).cast("long")
+    slim = rows.select("conv_id", "turn", "role", "place", F.trim(F.regexp_replace(own, r"^\s+|\s+$", "")).alias("text"), quoted.alias("n_quoted")).join(links, "place", "left")
     firsts = rows.groupBy("conv_id").agg(F.min("place").alias("begin"))
     begun = slim.join(firsts, "conv_id", "left").withColumn("begins", F.col("conv_id").isNull() | (F.col("place") == F.col("begin"))).drop("begin")
     parent = F.when(F.col("begins"), None).otherwise(F.coalesce("parent", F.col("place") - 1))
@@ -131,4 +167,4 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     turns = cut.select(F.col("place").alias("parent"), F.col("turn").alias("parent_turn"))
     told = cut.join(tour, "segment", "left").join(turns, "parent", "left")
     position = F.coalesce("first", F.lit(0)) + F.col("place") - F.col("segment")
-    return told.select("conv_id", "turn", "role", "parent_turn", "linked", position.cast("long").alias("position"), "n_quoted_lines", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked_lines"), "text")
+    return told.select("conv_id", "turn", "role", "parent_turn", "linked", position.cast("long").alias("position"), "n_quoted", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "text")
