@@ -341,6 +341,7 @@ class FingerprintIndex:
             shared = shared.join(older.hint("merge"), "fp", "left")
         before = sum((F.coalesce(f"n{k}", F.lit(0)) for k in range(len(self.prints))), F.lit(0))
         shared = shared.where(F.col("many") | (F.col("n") > 1) | (before > 0)).select("fp", (F.col("n") + before > DEAL).alias("hot"))
+        shared = written(shared, "shared")
         held = [spark.table(name).select("fp", "block").join(shared.hint("merge"), "fp") for _, name in [*self.prints, prints]]
         lists = held[0]
         for rows in held[1:]:
