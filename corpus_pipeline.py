@@ -18,31 +18,49 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the additive model, fitted on the labels outside the held-out third, rejects."""
+    """Drops documents that the additive model, fitted on the labels outside the held-out third, rejects.
+
+    A text is judged by itself: a null one as an empty text, equal rows alike.
+    Without usable labels every text has the same score and all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_model.kept(docs, quality_model.train(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each near-duplicate class; rows without an id stay."""
+    """Keeps the document with the least id of each near-duplicate class.
+
+    Equal rows stay once, different texts that share an id are decided about
+    each, rows without an id stay. Texts without words are near each other only
+    if they are equal; a null text is an empty one.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes words under 13-word windows that an earlier document has; documents left without words go.
+    """Removes words under 13-word windows that a document with a smaller id has; documents left without words go.
 
-    A changed document's text is its kept words joined by spaces, and n_chars follows.
+    A changed document's text is its kept words joined by spaces, and n_chars
+    follows. Null and empty texts, texts of fewer than 13 words and rows without
+    an id stay as they are; rows that share an id do not change each other.
     """
     return substring.without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents so that sources come near their target weights; some come up to three times."""
+    """Takes documents so that sources come near their target weights; some come up to three times.
+
+    A null source is one of its own. Texts without words take nothing, so they
+    go. Rows that share an id are repeated alike.
+    """
     return mixing.repeated(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of at most 2048 token ids."""
+    """Packs what is left into sequences of at most 2048 token ids: a row per piece.
+
+    A null or empty text is its end id alone; repeated rows are packed each.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -58,6 +76,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table. An empty table gives an empty result; columns beyond doc_id, text and source pass through."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
