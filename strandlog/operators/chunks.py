@@ -4,6 +4,11 @@ With sums of the sizes before each entry, the entry that a chunk beginning at
 entry i is followed by is a lookup: the first one whose sum passes that of i by
 more than the limit. Those lookups form a chain from the first entry of each
 domain; the entries on it, found by pointer doubling, begin the chunks.
+
+Few entries can begin a chunk: a chunk passes the limit by less than the
+longest entry, so the j-th one begins at least j times the limit, and at most j
+times (the limit and the longest entry), after the first. Only entries in those
+stretches take part.
 """
 
 from __future__ import annotations
@@ -28,13 +33,21 @@ def _following(rows: DataFrame, limit: int) -> DataFrame:
     return found.where("kind = 0").select("domain", (-F.col("back")).alias("ord"), F.when(hit, F.col("_latest.ord")).alias("to"))
 
 
+def _possible(rows: DataFrame, limit: int) -> DataFrame:
+    """The entries (domain, ord, pos, size) that may begin a chunk."""
+    ends = rows.groupBy("domain").agg(F.min("pos").alias("_first"), F.max("size").alias("_longest"))
+    at = F.col("pos") - F.col("_first")
+    return rows.join(ends, "domain").where(at <= F.floor(at / F.lit(limit + 1)) * (F.lit(limit) + F.col("_longest"))).drop("_first", "_longest")
+
+
 def rolled(entries: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
     """Adds chunk to entries (domain, ord, pos, size): from 0, a new one after the entry that took a chunk beyond the limit.
 
     ord is a number that is unique in a domain. An empty table gives an empty result.
     """
     rows = written(entries, "entries")
-    links = written(_following(rows, limit), "chain").where("to is not null")
+    possible = _possible(rows.select("domain", "ord", "pos", "size"), limit)
+    links = written(_following(possible, limit), "chain").where("to is not null")
     begins = written(rows.groupBy("domain").agg(F.min("ord").alias("ord")), "begins")
     while True:  # after k rounds links jump 2^k chunks and begins holds the first 2^k ones
         more = begins.join(links, ["domain", "ord"]).select("domain", F.col("to").alias("ord"))

@@ -26,8 +26,9 @@ def entries(df: DataFrame, domain: Column, key: Column, value: Column, order: Co
 
 
 def positioned(rows: DataFrame) -> DataFrame:
-    """Adds pos: the byte where the entry begins in its domain's log."""
-    return ordering.running_sum(rows, ["domain"], ["ord"], F.col("size"), "pos")
+    """Adds pos, the byte where the entry begins in its domain's log, and n_before, the entries before it that are no index entries."""
+    counted = F.when(is_index(F.col("flags")), 0).otherwise(1).cast("long")
+    return ordering.running_sums(rows, ["domain"], ["ord"], {"pos": F.col("size"), "n_before": counted})
 
 
 def ordinals(rows: DataFrame, name: str = "ordinal") -> DataFrame:

@@ -10,14 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import bit_width, gamma_code, is_index, key_hash
 from ..schemas import BLOCK_ENTRIES
-from . import entries as ops
 from . import ordering
 
 
 def blocked(positioned: DataFrame, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """Adds block: each ``block_entries`` entries of a domain that are not index entries, in order."""
-    rows = ops.ordinals(positioned.where(~is_index(F.col("flags"))), "_n")
-    return rows.withColumn("block", F.floor(F.col("_n") / block_entries).cast("long")).drop("_n")
+    return positioned.where(~is_index(F.col("flags"))).withColumn("block", F.floor(F.col("n_before") / block_entries).cast("long"))
 
 
 def block_ranges(blocks: DataFrame) -> DataFrame:

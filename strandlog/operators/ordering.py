@@ -1,16 +1,19 @@
 """Running values over an order, for groups of any size.
 
-Rows are range-sorted by group and order into blocks. Inside a block an
-ordinary window does the work; what the blocks before it hold comes from one
-small row a block and group. No task sees a whole group.
+Rows are range-sorted by group and order into blocks, and kept as a table
+bucketed by block, so that windows inside blocks need no second shuffle. What
+the blocks before a block hold comes from one small row a block and group. No
+task sees a whole group.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import new_path, written
 
 
 def _sorted(names: list[str]) -> list[Column]:
@@ -18,9 +21,14 @@ def _sorted(names: list[str]) -> list[Column]:
 
 
 def in_order(df: DataFrame, by: list[str], label: str = "ordered") -> DataFrame:
-    """df range-sorted by ``by`` and written, with the number of each row's block in ``_block``."""
+    """df range-sorted by ``by``, with the number of each row's block in ``_block``: the only shuffle of the rows."""
+    spark = df.sparkSession
+    name, buckets = f"ordered_{uuid.uuid4().hex}", 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(*_sorted(by)).withColumn("_block", F.spark_partition_id())
-    return written(dealt, label)  # later reads must see the same blocks
+    dealt.write.option("compression", "zstd").option("path", new_path(spark, label)).bucketBy(buckets, "_block").saveAsTable(name)
+    rows = spark.table(name)  # later reads see the same blocks
+    spark.sql(f"DROP TABLE {name}")  # the name only: files at a given path stay
+    return rows
 
 
 def _within(by: list[str], keys: list[str] | None = None) -> Window:
@@ -36,21 +44,30 @@ def _equal(left: str, right: str, keys: list[str]) -> Column:
 
 def running_sum(df: DataFrame, keys: list[str], by: list[str], value: Column, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the rows before each in its group ``keys``, in the order of ``by``."""
-    rows = in_order(df.withColumn("_value", value), [*keys, *by])
-    sums = rows.groupBy("_block", *keys).agg(F.sum("_value").alias("_sum"))
+    return running_sums(df, keys, by, {name: value})
+
+
+def running_sums(df: DataFrame, keys: list[str], by: list[str], values: dict[str, Column]) -> DataFrame:
+    """Adds, by name, the sums of the values over the rows before each in its group ``keys``, in one pass over the order."""
+    rows = in_order(df.withColumns({f"_v_{n}": v for n, v in values.items()}), [*keys, *by])
+    sums = rows.groupBy("_block", *keys).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select("_block", *keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carried"))
-    own = F.coalesce(F.sum("_value").over(_within(by, keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = rows.withColumn("_own", own).alias("r").join(carried.alias("c"), (F.col("r._block") == F.col("c._block")) & _equal("r", "c", keys))
-    return joined.select("r.*", F.col("c._carried")).withColumn(name, F.col("_carried") + F.col("_own")).drop("_block", "_own", "_carried", "_value")
+    carried = sums.select("_block", *keys, *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in values])
+    window = _within(by, keys).rowsBetween(Window.unboundedPreceding, -1)
+    own = {f"_o_{n}": F.coalesce(F.sum(f"_v_{n}").over(window), F.lit(0)) for n in values}
+    joined = rows.withColumns(own).alias("r").join(carried.alias("c"), (F.col("r._block") == F.col("c._block")) & _equal("r", "c", keys))
+    told = joined.select("r.*", *[F.col(f"c._c_{n}") for n in values]).withColumns({n: F.col(f"_c_{n}") + F.col(f"_o_{n}") for n in values})
+    return told.drop("_block", *[f"_{k}_{n}" for k in "voc" for n in values])
 
 
 def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Adds a gapless number from 0 in the order of ``by``, over the whole table."""
-    rows = in_order(df, by, name)
+    """Adds a gapless number from 0 in the order of ``by``, over the whole table: rows are counted while they are written."""
+    # the high bits of the id are the partition's number, the low ones count its rows
+    rows = df.repartitionByRange(*_sorted(by)).sortWithinPartitions(*_sorted(by)).withColumn("_id", F.monotonically_increasing_id())
+    rows = written(rows, name).withColumn("_block", F.shiftright("_id", 33))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("_block").agg(F.count("*").alias("_n")).select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # one row a block
-    return rows.withColumn("_own", F.row_number().over(_within(by))).join(bases, "_block").withColumn(name, F.col("_base") + F.col("_own") - 1).drop("_block", "_own", "_base")
+    return rows.join(bases, "_block").withColumn(name, F.col("_base") + F.col("_id") - F.shiftleft("_block", 33)).drop("_block", "_id", "_base")
 
 
 def latest(df: DataFrame, by: list[str], value: Column, label: str = "ordered") -> DataFrame:
