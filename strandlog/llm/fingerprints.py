@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .store import written
 from .words import Text, blocks, mix64, shingles, stream
 
 WORDS, BINS, BITS = 5, 512, 4
 _EMPTY = np.uint64(2**64 - 1)
 _BIN_BITS = BINS.bit_length() - 1
-#: Text that one ordered run of documents holds, about; and the runs at most.
-RUN_BYTES, MAX_RUNS = 8 << 20, 4096
+#: Text that one ordered run of documents holds, about; and the number of runs from which they grow instead.
+RUN_BYTES, MAX_RUNS = 8 << 20, 65_536
 
 
 def _values(text: Text) -> np.ndarray:
@@ -115,7 +116,11 @@ def _compared(pairs: list[tuple[tuple, tuple]]) -> pa.RecordBatch:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint of every row of docs (doc_id, text); empty for a text without words."""
+    """doc_id, fingerprint of every row of docs (doc_id, text); empty for a text without words.
+
+    A null text is an empty one, a null doc_id stays null, repeated rows come
+    each. An empty table gives an empty result. Other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, text in blocks(batches):
@@ -125,6 +130,40 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _runs(slim: DataFrame, n: int, rows: int):
+    """A column function (doc_id, hash) -> run, whose runs stand in the order of doc_id (null first) and hash.
+
+    Cuts are quantiles of doc_id. An id of more than two runs' rows is dealt
+    over runs of its own by ranges of the hash; at most n / 2 ids are.
+    """
+    cuts = slim.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 8 * n).alias("c")).first()["c"] or []
+    splits = np.unique(np.array(cuts, np.int64))
+    limit = 2 * max(1, rows // n)
+    hot = {r["doc_id"]: -(-r["n"] * 2 // limit) for r in slim.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()}
+    nulls = hot.pop(None, 1)
+    hot_ids = np.array(sorted(hot), np.int64)
+    parts = np.array([hot[k] for k in hot_ids.tolist()], np.int64)
+
+    def part_of(h: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        high = (h.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)  # in the order of the hash
+        return (high.astype(np.int64) * n) >> 32
+
+    @arrow_udf("long")
+    def run_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        lacks, h = ids.is_null().to_numpy(zero_copy_only=False), hashes.to_numpy(zero_copy_only=False)
+        i = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        # three places a cut: ids below a hot one, its parts, and ids behind it
+        run = (np.searchsorted(splits, i).astype(np.int64) + 1) * 2 * (len(hot_ids) + 1) << 24
+        if len(hot_ids):
+            at = np.searchsorted(hot_ids, i)
+            own = hot_ids[np.minimum(at, len(hot_ids) - 1)] == i
+            run += (2 * at + own) << 24
+            run[own] += part_of(h[own], parts[at[own]])
+        return pa.array(np.where(lacks, part_of(h, nulls), run))
+
+    return run_of
+
+
 def with_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text of docs (doc_id, text) and of its edited text, compared with it and with the next.
 
@@ -136,28 +175,26 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
 
     Returns a row per input row: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next. A null text is an empty one; a
-    null doc_id comes before all others; equal ids stand in the order of their
-    texts. One document is its own next one. Texts without words have an empty
-    fingerprint and are alike. An empty table gives an empty result. Other
-    columns are ignored.
+    null doc_id comes before all others; equal ids stand in the order of a hash
+    of their texts. One document is its own next one. Texts without words have
+    an empty fingerprint and are alike. An empty table gives an empty result.
+    Other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    n = min(MAX_RUNS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RUN_BYTES)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 8 * MAX_RUNS).alias("c")).first()["c"] or []
-    splits = np.unique(np.array(cuts, np.int64))
-
-    @arrow_udf("int")
-    def run_of(ids: pa.Array) -> pa.Array:
-        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(splits, ids.fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int32))
-
-    dealt = docs.withColumn("run", run_of("doc_id"))
-    least = F.min(F.when(F.col("doc_id").isNull(), F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("i"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("doc_id").alias("i"))))
-    firsts = sorted((r["run"], r["first"]["i"] if r["first"]["k"] else None) for r in dealt.select("run", "doc_id").groupBy("run").agg(least.alias("first")).collect())  # MAX_RUNS rows at most
-    follows = [(firsts[(k + 1) % len(firsts)][1], run) for k, (run, _) in enumerate(firsts)]
-    halo = docs.join(F.broadcast(spark.createDataFrame(follows, "first_id long, run int")), F.col("doc_id").eqNullSafe(F.col("first_id")))
-    halo = halo.groupBy("run", "doc_id").agg(F.min("text").alias("text")).select("run", F.lit(True).alias("halo"), "doc_id", "text")
-    rows = dealt.select("run", F.lit(False).alias("halo"), "doc_id", "text").union(halo)
-    ordered = rows.repartition(n, "run").sortWithinPartitions("run", "halo", "doc_id", "text")
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    slim = written(docs.select("doc_id", "hash", F.octet_length("text").alias("bytes")), "sizes")
+    total = slim.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+    n = min(MAX_RUNS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total["b"] // RUN_BYTES)))
+    run_of = _runs(slim, n, total["n"])
+
+    # null comes first
+    least = F.min(F.struct(F.when(F.col("doc_id").isNull(), 0).otherwise(1).alias("k"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("hash").alias("h")))
+    firsts = slim.select(run_of("doc_id", "hash").alias("run"), "doc_id", "hash").groupBy("run").agg(least.alias("first")).orderBy("run").collect()  # a row a run
+    follows = [(r["first"]["i"] if r["first"]["k"] else None, r["first"]["h"], firsts[k - 1]["run"]) for k, r in enumerate(firsts)]
+    keys = F.broadcast(spark.createDataFrame(follows, "first_id long, first_hash long, run long"))
+    halo = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")))
+    halo = halo.groupBy("run", "doc_id").agg(F.min("text").alias("text"), F.min("hash").alias("hash")).select("run", F.lit(True).alias("halo"), "doc_id", "hash", "text")
+    rows = docs.select(run_of("doc_id", "hash").alias("run"), F.lit(False).alias("halo"), "doc_id", "hash", "text").union(halo)
+    ordered = rows.repartition(n, "run").sortWithinPartitions("run", "halo", "doc_id", "hash", "text").select("run", "halo", "doc_id", "text")
     return ordered.mapInArrow(_fingerprinted, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
