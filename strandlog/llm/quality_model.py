@@ -225,14 +225,16 @@ def bucket_of(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
     """Fits on labelled documents outside the held-out third: max_rows of them at most, chosen by a hash of the id.
 
-    Null ids and labels are left out. Without labels, or with one class only,
-    the score is the same for all texts.
+    Null ids and labels are left out, and of labels or texts that share an id
+    the least counts. Without labels, or with one class only, the score is the
+    same for all texts.
     """
     bounded_batches(docs.sparkSession)
     usable = labels.select("doc_id", F.col(label).alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (bucket_of(F.col("doc_id")) != 1))
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
+    sample = usable.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # at most max_rows pairs of numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", features_of(F.col("text")).alias("x")).orderBy("doc_id", "y").collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", features_of(F.col("text")).alias("x"))
+    rows = found.groupBy("doc_id", "y").agg(F.min("x").alias("x")).orderBy("doc_id").collect()  # max_rows at most
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r["y"] for r in rows], float))
 
@@ -241,12 +243,18 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs (doc_id, text).
 
     A null text is an empty one, and gets the score of a text without words.
-    Repeated rows are scored each. Other columns are ignored.
+    Repeated rows are scored each, a null doc_id stays null. An empty table
+    gives an empty result. Other columns are ignored. No row is shuffled.
     """
     score = docs.select("doc_id", (bucket_of(F.col("doc_id")) == 1).alias("held_out"), score_of(F.col("text"), model).alias("score"))
     return score.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def kept(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that the model predicts as 1, with their columns. No row is shuffled."""
+    """The rows of docs that the model predicts as 1, with their columns.
+
+    Each row is judged by its text alone: a null text as an empty one, repeated
+    rows and null ids alike. An empty table gives an empty result. No row is
+    shuffled.
+    """
     return docs.where(score_of(F.col("text"), model) >= 0.5)
