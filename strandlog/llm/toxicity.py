@@ -29,12 +29,8 @@ from .quality_model import bucket_of
 from .store import written
 from .words import Text, blocks
 
-CATEGORIES = ("insult", "contempt", "toxic")
-# Rude words of the given documents, for tests; the models don't know them.
-SEEDS = {
-    "insult": ("clown", "idiot", "loser", "moron", "scum", "trash"),
-    "contempt": ("disgusting", "pathetic", "stupid", "worthless"),
-}
+#: The labels have one category; the groups before it are learned, and only their order has a meaning.
+CATEGORIES = ("first_group", "second_group", "toxic")
 #: Labelled rows that the driver fits on, at most; buckets that the models look at, at most.
 MAX_ROWS, WIDTH = 12_000, 256
 BUCKET_BITS, MIN_DOCS, MIN_DEVIATION, FOLDS, RIDGE = 20, 4, 4.0, 3, 1.0
@@ -192,8 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, width: i
 def scored(docs: DataFrame, chain: Chain) -> DataFrame:
     """Probabilities of every row of docs (doc_id, text).
 
-    Returns a row per input row: doc_id; held_out (never trained on); insult,
-    contempt, toxic_score in 0 to 1; toxic (toxic_score is 0.5 or more).
+    Returns a row per input row: doc_id; held_out (never trained on); first_group,
+    second_group, toxic_score in 0 to 1; toxic (toxic_score is 0.5 or more).
 
     A null or empty text has no words and gets the probabilities of such a
     text. Repeated rows are scored each, a null doc_id stays null. An empty
@@ -206,5 +202,5 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
             p = chain.probabilities(_bits(doc, bucket, plain.n, chain.buckets))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(p[:, k].astype(float)) for k in range(p.shape[1]))], ["doc_id", *CATEGORIES[:-1], "toxic_score"])
 
-    out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, insult double, contempt double, toxic_score double")
-    return out.select("doc_id", (bucket_of(F.col("doc_id")) == 1).alias("held_out"), "insult", "contempt", "toxic_score", (F.col("toxic_score") >= 0.5).alias("toxic"))
+    out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, first_group double, second_group double, toxic_score double")
+    return out.select("doc_id", (bucket_of(F.col("doc_id")) == 1).alias("held_out"), "first_group", "second_group", "toxic_score", (F.col("toxic_score") >= 0.5).alias("toxic"))
