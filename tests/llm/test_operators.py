@@ -299,11 +299,15 @@ def test_additive_model_finds_an_interaction():
     assert ((quality_model.fit(x, y).scores(x) >= 0.5) == y).mean() > 0.9
 
 
+# Rude words of the given documents; the operator does not know them.
+RUDE = "clown disgusting idiot loser moron pathetic scum stupid trash worthless".split()
+
+
 def test_toxicity_on_held_out_rows():
     docs = spark().read.parquet(f"{DATA}/sf0.01/documents.parquet")
     chain = toxicity.train(docs, labels())
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
-    rude = {w for c in toxicity.SEEDS.values() for w in c}
+    rude = set(RUDE)
     found = toxicity.scored(docs, chain).collect()
     clear = {k: any(w in rude for w in re.findall(r"[a-z]+", t.lower())) for k, t in texts.items()}
     caught = [r["toxic"] for r in found if r["held_out"] and clear[r["doc_id"]]]
@@ -325,14 +329,14 @@ def held_out_recall(found, known):
 def test_toxicity_learns_words_from_the_labels():
     docs, known = (spark().read.parquet(f"{DATA}/sf0.1/{name}.parquet") for name in ("documents", "labels"))
     other = docs
-    for k, word in enumerate(sorted(w for c in toxicity.SEEDS.values() for w in c)):
+    for k, word in enumerate(RUDE):
         other = other.withColumn("text", F.regexp_replace("text", rf"(?i)\b{word}\b", f"qvorz{k}x"))
     for texts in (docs, other):
         chain = toxicity.train(texts, known)
         found = toxicity.scored(texts, chain).cache()
         caught, toxic, wrong, clean = held_out_recall(found, known)
         assert toxic and caught / toxic > 0.8 and wrong / clean < 0.06
-        assert found.where("insult >= 0.5").count() and found.where("contempt >= 0.5").count()
+        assert found.where("first_group >= 0.5").count() and found.where("second_group >= 0.5").count()
 
 
 def test_clusters_follow_the_texts_that_buckets_share():
@@ -472,6 +476,20 @@ def test_fingerprints_on_odd_tables():
     assert fingerprints.fingerprint(docs).count() == docs.count()
 
 
+def test_fingerprints_of_hot_ids(monkeypatch):
+    monkeypatch.setattr(fingerprints, "RUN_BYTES", 300)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i} of many " + "w " * (i % 11)) for i in range(300)]
+    docs = spark().createDataFrame(rows, "doc_id long, text string")
+    order = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["text"]) for r in docs.select("*", F.xxhash64("text").alias("h")).collect()))
+    expected = []
+    for k, (known, doc, _, text) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][3], len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        expected.append((doc if known else None, len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    found = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprints.with_neighbours(docs).collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="<p>no</p>";</script></head><body>
 <header><a href="/">Site</a></header><nav><ul><li><a href="/a">One</a><li><a href="/b">Two</a></ul></nav><div class="cookie-notice">We use cookies.</div>
 <article><h1>A &amp; B&nbsp;c</h1><p>First   paragraph

@@ -6,7 +6,7 @@ import corpus_pipeline
 from strandlog.llm import quality_model
 
 from ..session import DATA, spark
-from .test_operators import brute_classes, brute_substring, check_packs
+from .test_operators import brute_classes, brute_substring, check_packs, empty_documents, odd_documents
 
 SF = f"{DATA}/sf0.01"
 
@@ -40,3 +40,29 @@ def test_stages_one_after_the_other():
 def test_run_over_a_table():
     found = corpus_pipeline.run(spark(), f"{DATA}/sf0.001")
     assert found.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(found.columns)
+
+
+def saved(tmp_path, docs):
+    """A folder with docs as its documents table, and the labels of the given one."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark().read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_stages_on_odd_tables(tmp_path):
+    docs = odd_documents()
+    folder = saved(tmp_path, docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark(), docs, folder)
+        assert found.columns == docs.columns, name
+        if name == "n-gram Jaccard join":
+            assert found.where("doc_id is null").count() == 2 and found.groupBy("doc_id", "text").count().where("count > 1 and doc_id is not null").count() == 0
+        if name == "substring dedup":
+            assert found.where("text is null").count() == docs.where("text is null").count()
+    pieces = corpus_pipeline.STAGES[-1][1](spark(), docs, folder).collect()
+    check_packs(docs, pieces)
+    assert corpus_pipeline.run(spark(), folder).count() > 0
+
+
+def test_run_on_an_empty_table(tmp_path):
+    assert corpus_pipeline.run(spark(), saved(tmp_path, empty_documents())).count() == 0
