@@ -74,14 +74,21 @@ def read_entry(data: bytes, pos: int) -> Entry | None:
     return Entry(pos, end - pos, time, entry_id, flags, key, value)
 
 
-def scan(data: bytes, start: int = 0) -> Iterator[Entry]:
-    """Valid entries from start on. After damage the scan goes on at the next head that begins a valid one."""
+def scan(data: bytes, start: int = 0, follow: bool = False) -> Iterator[Entry]:
+    """Valid entries from start on. After damage the scan goes on at the next head that begins a valid one.
+
+    An entry that the data cut off hides what lies in its value from a reader
+    that follows the file: with ``follow`` the scan ends there. Without it the
+    file is final, and what can be read behind a cut head is.
+    """
     pos = start
     while 0 <= pos < len(data):
         try:
             entry = read_entry(data, pos)
         except Truncated:
-            entry = None  # a half-written end, or a damaged length: a later head tells
+            if follow:
+                return
+            entry = None
         if entry is None:
             pos = data.find(_HEAD, pos + 1)
         else:
@@ -90,8 +97,8 @@ def scan(data: bytes, start: int = 0) -> Iterator[Entry]:
 
 
 def whole_bytes(data: bytes, start: int = 0) -> int:
-    """Position after the last valid entry; a reader that follows the file goes on there."""
+    """Position after the last entry that is whole and before which nothing is cut off."""
     end = start
-    for entry in scan(data, start):
+    for entry in scan(data, start, follow=True):
         end = entry.pos + entry.size
     return end

@@ -3,8 +3,11 @@
 Reading: one partition a file, as chunks of a domain are files of a bounded
 size. Values of external entries stay links; ``external.read_values`` joins
 them. Writing: each task writes one file under a temporary name, and the commit
-on the driver gives all of them their names, so a lost task leaves nothing
-behind. As a stream, files are followed from the last whole entry.
+on the driver gives it its name, so a lost task leaves no entries behind.
+External values have the checksum of their content in their names, so tasks
+name them themselves, and a task that runs again writes the same files. As a
+stream, the driver looks at file lengths only; a task returns the entries that
+became whole between two lengths.
 """
 
 from __future__ import annotations
@@ -17,11 +20,11 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..schemas import FLAG_EXTERNAL, LOG
-from .codec import Entry, link, made, scan, whole_bytes
+from .codec import Entry, link, made, scan
 
 _BATCH = 4096
 
@@ -99,28 +102,28 @@ class _Reader(DataSourceReader):
 
 
 class _Follower(DataSourceStreamReader):
-    """The offset is the position after the last whole entry of each file."""
+    """The offset is the length of each file.
+
+    A task reads its file, a chunk of bounded size, from the beginning, as only
+    entries tell where entries begin; it returns those that end behind the
+    former length. An entry that is half written comes once it is whole.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.seen: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        for file in _listed(self.path):
-            at = self.seen.get(file.path, 0)
-            if file.size > at:
-                self.seen[file.path] = at + whole_bytes(_content(file.path, self.path, at))
-        return dict(self.seen)
+        return {x.path: x.size for x in _listed(self.path)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         return [_File(p, start.get(p, 0), e) for p, e in sorted(end.items()) if e > start.get(p, 0)]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        data = _content(partition.path, self.path, partition.start, partition.end)
-        yield from _batches(partition.path, _shifted(scan(data), partition.start))
+        data = _content(partition.path, self.path, 0, partition.end)
+        yield from _batches(partition.path, (e for e in scan(data, follow=True) if e.pos + e.size > partition.start))
 
     def commit(self, end: dict) -> None:
         pass
@@ -128,47 +131,50 @@ class _Follower(DataSourceStreamReader):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    names: list[str]
+    name: str
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Appends files. Values that are too long go to files of their own beside them."""
 
     def __init__(self, options: dict, schema: StructType):
         self.path = options["path"]
         self.at = [schema.fieldNames().index(c) for c in ("time", "entry_id", "flags", "key", "value")]
-        self.job = uuid.uuid4().hex
 
     def _fs(self) -> tuple[pafs.FileSystem, str]:
         return pafs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (pafs.LocalFileSystem(), self.path)
 
-    def write(self, rows: Iterator) -> _Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         fs, base = self._fs()
         fs.create_dir(base, recursive=True)
-        name, names = f"{base}/{uuid.uuid4().hex}.log", []
+        task, known = uuid.uuid4().hex, set()
+        name = f"{base}/{task}.log"
         with fs.open_output_stream(f"{name}.partial") as out:
-            for row in rows:
-                time, entry_id, flags, key, value = (row[k] for k in self.at)
-                value = bytes(value or b"")
-                raw, external = made(bytes(key or b""), value, time, entry_id, flags or 0)
-                out.write(raw)
-                if external and f"{base}/{external}" not in names:
-                    with fs.open_output_stream(f"{base}/{external}.partial") as file:
-                        file.write(value)
-                    names.append(f"{base}/{external}")
-        return _Written([*names, name])
+            for batch in batches:
+                raws = []
+                for time, entry_id, flags, key, value in zip(*(batch.column(k).to_pylist() for k in self.at), strict=True):
+                    raw, external = made(key or b"", value or b"", time, entry_id, flags or 0)
+                    raws.append(raw)
+                    if external and external not in known:
+                        with fs.open_output_stream(f"{base}/{external}.{task}.partial") as file:
+                            file.write(value or b"")
+                        fs.move(f"{base}/{external}.{task}.partial", f"{base}/{external}")
+                        known.add(external)
+                out.write(b"".join(raws))
+        return _Written(name)
 
     def commit(self, messages: list) -> None:
         fs, _ = self._fs()
-        for name in dict.fromkeys(n for m in messages if m for n in m.names):
+        for name in sorted({m.name for m in messages if m}):  # one a task
             if fs.get_file_info(f"{name}.partial").is_file:
                 fs.move(f"{name}.partial", name)
 
     def abort(self, messages: list) -> None:
+        """Drops the logs; values without an entry stay, and a later write of the same ones finds them."""
         fs, _ = self._fs()
         for m in messages:
-            for name in m.names if m else []:
-                fs.delete_file(f"{name}.partial")
+            if m:
+                fs.delete_file(f"{m.name}.partial")
 
 
 class EntryLog(DataSource):
@@ -187,7 +193,7 @@ class EntryLog(DataSource):
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return _Follower(self.options)
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options, schema)
 
 

@@ -57,6 +57,16 @@ def test_half_written_end_is_no_error():
         assert len(list(codec.scan(data))) == 1 and codec.whole_bytes(data) == len(whole)
 
 
+def test_an_entry_inside_a_half_written_one_is_not_read_by_a_follower():
+    inner = codec.encode(b"in", b"side", 1, 5)
+    whole, outer = codec.encode(b"a", b"b", 1, 1), codec.encode(b"out", b"x" * 50 + inner + b"y" * 50, 1, 2)
+    for cut in range(1, len(outer)):
+        data = whole + outer[:cut]
+        assert codec.whole_bytes(data) == len(whole) and [e.entry_id for e in codec.scan(data, follow=True)] == [1]
+    assert [e.entry_id for e in codec.scan(whole + outer, follow=True)] == [1, 2]
+    assert [e.entry_id for e in codec.scan(whole + outer[:-20])] == [1, 5]  # a final file: what can be read is
+
+
 def test_a_magic_number_inside_a_value():
     head = codec.encode(b"x", b"y", 1, 1)[:4]
     data = codec.encode(b"k", head * 5, 1, 7) + codec.encode(b"k2", b"", 1, 8)
@@ -89,8 +99,12 @@ def test_source_sink_and_stream():
     assert drain() == list(range(1, 301))
     name = next(x for x in sorted(os.listdir(path)) if x.endswith(".log"))
     with open(f"{path}/{name}", "ab") as file:  # a whole entry and a half one
-        file.write(codec.encode(b"new", b"v", 9, 301) + codec.encode(b"half", b"v", 9, 302)[:20])
+        half = codec.encode(b"half", codec.encode(b"inner", b"v", 9, 999), 9, 302)
+        file.write(codec.encode(b"new", b"v", 9, 301) + half[:-6])
     assert drain() == list(range(1, 302))
+    with open(f"{path}/{name}", "ab") as file:
+        file.write(half[-6:])
+    assert drain() == list(range(1, 303))
 
 
 def test_missing_external_value_is_null():
