@@ -87,8 +87,9 @@ def _numbered(run: int):
             ends = total + np.cumsum(sizes)
             block = (ends - sizes) // BLOCK_BYTES
             heads = np.flatnonzero(np.concatenate([[block[0] != last], block[1:] != block[:-1]]))
-            seq = np.arange(len(block)) + (0 if len(heads) and heads[0] == 0 else count)
-            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(block)], strict=True):
+            seq = np.arange(len(block)) + count  # of the block that the batch before began
+            edges = [*heads.tolist(), len(block)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
                 seq[a:b] = np.arange(b - a)
             total, last, count = int(ends[-1]), int(block[-1]), int(seq[-1]) + 1
             yield pa.RecordBatch.from_arrays([pa.array(block + base), pa.array(seq.astype(np.int32)), *batch.columns], ["block", "seq", *batch.schema.names])

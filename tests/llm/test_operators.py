@@ -10,6 +10,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -639,6 +640,23 @@ def test_index_over_batches_equals_one_batch():
     assert rows(4) == rows(1)
 
 
+@pytest.mark.parametrize("size", [1, 3, 64])
+def test_blocks_that_span_arrow_batches(size):
+    texts = ["a" * (i * 37 % 50) for i in range(64)]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(substring, "BLOCK_BYTES", 100)
+        patch.setattr(substring, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": staticmethod(lambda: 2)}))}))
+        batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(a, min(a + size, 64))), "text": texts[a : a + size]}) for a in range(0, 64, size)]
+        found = [tuple(r.values()) for b in substring._numbered(3)(iter(batches)) for r in b.to_pylist()]
+    total, expected, seen = 0, [], {}
+    for i, t in enumerate(texts):
+        block = (3 << 48 | 2 << 24) + total // 100
+        expected.append((block, seen.setdefault(block, 0), i, t))
+        seen[block] += 1
+        total += len(t)
+    assert found == expected
+
+
 def test_an_index_that_stays_takes_batch_after_batch():
     docs = documents().select("doc_id", "text")
     path = tempfile.mkdtemp(prefix="spark-")
