@@ -82,3 +82,20 @@ def guard_u32(n: Column) -> Column:
 def frame(value: Column) -> Column:
     """A value of a reply stream: its length in bytes, a code, itself."""
     return F.concat(F.octet_length(value).cast("string"), F.lit(" ok "), value)
+
+
+def frame_value(framed: Column) -> Column:
+    """The value of a frame; null if the frame is not whole or does not say ok."""
+    size = F.regexp_extract(framed, r"^(\d+) ok ", 1)
+    value = F.substring(framed, F.length(size) + 5, F.length(framed))
+    return F.when((size != "") & (F.octet_length(value) == size.try_cast("int")), value)
+
+
+def path_parts(path: Column) -> Column:
+    """The parts of a path that are not empty."""
+    return F.filter(F.split(path, "/"), lambda x: x != "")
+
+
+def padded_bytes(bits: Column) -> Column:
+    """Bytes that so many bits take."""
+    return F.ceil(bits / 8).cast("long")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fits_inline, is_external, is_index, key_hash, leaf, stored_size, sync_id_hex
@@ -68,3 +73,55 @@ def id_dump(rows: DataFrame) -> DataFrame:
 def as_log(rows: DataFrame) -> DataFrame:
     """Columns that the entrylog sink takes."""
     return rows.select("time", "entry_id", F.col("flags").bitwiseAND(F.lit(2)).cast("int").alias("flags"), F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+
+
+def first_entries(rows: DataFrame, n: int) -> DataFrame:
+    """The first n entries of each domain: a scan that stops early. Ranks are cut before the shuffle too."""
+    order = Window.partitionBy("domain").orderBy("ord")
+    return rows.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= n).drop("_nth")
+
+
+def grouped_pairs(pairs: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Adds nth: a value's place among those of its key, the last one first. A row a value, so a key may have any number."""
+    falling = pairs.withColumn("_fall", -F.col(order))
+    return ordering.running_sum(falling, keys, ["_fall"], F.lit(1).cast("long"), "nth").drop("_fall")
+
+
+class Stop(Exception):
+    """Raised by a fold's step: the scan ends with the state given."""
+
+    def __init__(self, state: Any):
+        super().__init__()
+        self.state = state
+
+
+def folded(rows: DataFrame, zero: Any, step: Callable[[Any, dict], Any], merge: Callable[[Any, Any], Any]) -> Any:
+    """The fold of rows (domain, ord, ...) in the order of domain and ord by a function of the caller.
+
+    step(state, entry) gives the next state; merge(left, right) joins the states
+    of two stretches that follow one another, each folded from zero. Stretches
+    are range-sorted blocks, folded in tasks; only their states, one a block,
+    come to the driver. A step may raise Stop(state): what follows is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, stopped, block = zero, False, None
+        for batch in batches:
+            for entry in batch.to_pylist():
+                block = entry.pop("_block")
+                if not stopped:
+                    try:
+                        state = step(state, entry)
+                    except Stop as stop:
+                        state, stopped = stop.state, True
+        if block is not None:
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "stopped": [stopped], "state": [pickle.dumps(state)]})
+
+    by = [F.col("domain").asc_nulls_first(), F.col("ord").asc_nulls_first()]
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_block", F.spark_partition_id())
+    state = zero
+    for row in dealt.mapInArrow(run, "block int, stopped boolean, state binary").orderBy("block").collect():  # a row a block
+        state = merge(state, pickle.loads(bytes(row["state"])))
+        if row["stopped"]:
+            break
+    return state

@@ -5,10 +5,14 @@ A posting list lies in one block, so its length is bounded by the block's.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
-from ..functions import bit_width, gamma_code, is_index, key_hash
+from ..functions import bit_width, is_index, key_hash
 from ..schemas import BLOCK_ENTRIES
 from . import ordering
 
@@ -44,29 +48,53 @@ def gaps(found: DataFrame) -> DataFrame:
     return rows.select("domain", "block", "key_hash", "n", "gaps", bits.cast("long").alias("bits"))
 
 
+def _gamma_bits(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bit lengths, first bits) of the Elias gamma codes of positive numbers: as many zeros as the number has bits less one, then the number."""
+    widths = np.floor(np.log2(values.astype(np.longdouble))).astype(np.int64) + 1
+    return 2 * widths - 1, np.concatenate([[0], np.cumsum(2 * widths - 1)[:-1]])
+
+
+@arrow_udf(BinaryType())
+def _code_of(lists: pa.Array) -> pa.Array:
+    out = []
+    for item in lists:
+        positions = item.values.to_numpy()
+        values = np.append(np.diff(positions), 1) if len(positions) > 1 else np.zeros(0, np.int64)  # 1 is the end mark
+        sizes, starts = _gamma_bits(values) if len(values) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        bits = np.zeros(32 + int(sizes.sum()), np.uint8)
+        bits[:32] = positions[0] >> np.arange(31, -1, -1) & 1
+        widths = (sizes + 1) // 2
+        within = np.arange(int(widths.sum())) - np.repeat(np.cumsum(widths) - widths, widths)
+        bits[32 + np.repeat(starts + widths - 1, widths) + within] = np.repeat(values, widths) >> (np.repeat(widths, widths) - 1 - within) & 1
+        out.append(np.packbits(bits).tobytes())
+    return pa.array(out, pa.binary())
+
+
+@arrow_udf(ArrayType(LongType()))
+def _positions_of(codes: pa.Array) -> pa.Array:
+    out = []
+    for code in codes.to_pylist():
+        bits = np.unpackbits(np.frombuffer(code, np.uint8))
+        positions = [int.from_bytes(code[:4], "big")]
+        ones, at, k = np.flatnonzero(bits[32:]) + 32, 32, 0
+        while k < len(ones):  # a step a code: its first one tells its width
+            width = int(ones[k]) - at + 1
+            end = at + 2 * width - 1
+            gap = int("".join(map(str, bits[ones[k] : end].tolist())), 2)
+            at, k = end, int(np.searchsorted(ones, end))
+            positions.append(positions[-1] + gap)
+        out.append(positions[:-1] if len(positions) > 1 else positions)  # without the end mark
+    return pa.array(out, pa.list_(pa.int64()))
+
+
 def encoded(found: DataFrame) -> DataFrame:
-    """domain, block, key_hash, code: the stored bits of each posting list as a string of 0 and 1."""
-    rows = gaps(found).join(found.select("domain", "block", "key_hash", F.get("positions", F.lit(0)).alias("first")), ["domain", "block", "key_hash"])
-    code = F.concat(F.lpad(F.bin("first"), 32, "0"), F.array_join(F.transform("gaps", gamma_code), ""), F.when(F.col("n") > 1, F.lit("1")).otherwise(F.lit("")))
-    return rows.select("domain", "block", "key_hash", code.alias("code"))
+    """domain, block, key_hash, code: the stored bits of each posting list, filled up to whole bytes."""
+    return found.select("domain", "block", "key_hash", _code_of("positions").alias("code"))
 
 
 def decoded(codes: DataFrame) -> DataFrame:
-    """The posting lists of ``encoded``: bits after the first 32 are read code by code, then summed up."""
-    state = F.struct(F.substring("code", 33, 1 << 30).alias("rest"), F.array().cast("array<bigint>").alias("gaps"))
-    most = F.sequence(F.lit(0), F.length("code"))
-
-    def step(acc, _):
-        zeros = F.instr(acc["rest"], "1") - 1
-        value = F.conv(F.substring(acc["rest"], zeros + 1, zeros + 1), 2, 10).cast("bigint")
-        left = F.substring(acc["rest"], 2 * zeros + 2, F.length(acc["rest"]))
-        return F.when(acc["rest"] == "", acc).otherwise(F.struct(left.alias("rest"), F.concat(acc["gaps"], F.array(value)).alias("gaps")))
-
-    read = codes.withColumn("_gaps", F.aggregate(most, state, step)["gaps"])
-    kept = F.slice("_gaps", F.lit(1), F.greatest(F.size("_gaps") - 1, F.lit(0)))  # without the end mark
-    first = F.conv(F.substring("code", 1, 32), 2, 10).cast("bigint")
-    summed = F.aggregate(kept, F.array(first), lambda acc, gap: F.concat(acc, F.array(F.element_at(acc, -1) + gap)))
-    return read.select("domain", "block", "key_hash", summed.alias("positions"))
+    """The posting lists of ``encoded``, read code by code."""
+    return codes.select("domain", "block", "key_hash", _positions_of("code").alias("positions"))
 
 
 def segments(found: DataFrame) -> DataFrame:

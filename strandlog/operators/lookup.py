@@ -29,3 +29,10 @@ def via_index(entries: DataFrame, postings: DataFrame, keys: DataFrame) -> DataF
     hashes = keys.select(key_hash(F.col("key")).alias("key_hash")).distinct()
     at = postings.join(hashes, "key_hash", "left_semi").select("domain", F.explode("positions").alias("pos")).distinct()
     return many(entries.join(at, ["domain", "pos"], "left_semi"), keys)
+
+
+def at(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (domain, pos) with entry_id, key, value of the entry that begins exactly there, and reply: ok, or invalid_entry if none does."""
+    found = entries.select("domain", "pos", "entry_id", "key", "value", F.lit("ok").alias("_reply"))
+    joined = asked.select("domain", "pos").join(found, ["domain", "pos"], "left")
+    return joined.select("domain", "pos", "entry_id", "key", "value", F.coalesce("_reply", F.lit("invalid_entry")).alias("reply"))

@@ -22,7 +22,7 @@ def nodes_of(df: DataFrame, name: Column, host: Column) -> DataFrame:
 
 def named_nodes(df: DataFrame, name: str, prefix: str) -> DataFrame:
     """Nodes whose name is the prefix and a hex id, with that id, zero-padded, in ring order."""
-    digits = F.regexp_extract(F.col(name), f"^{prefix}([0-9a-fA-F]+)", 1)
+    digits = F.regexp_extract(F.col(name), f"^{prefix}([0-9a-fA-F]{{1,32}})$", 1)
     return df.where(digits != "").withColumn("node_id", F.lpad(F.lower(digits), 32, "0")).orderBy("node_id")
 
 
@@ -139,3 +139,44 @@ def redirect(counts: DataFrame) -> DataFrame:
     most = counts.groupBy("domain_id").agg(F.max("num_entries").alias("most"), F.max(F.when(F.col("rank") == 0, F.col("num_entries"))).alias("own"))
     behind = counts.join(most, "domain_id").where("rank > 0 and num_entries >= most and coalesce(own, 0) < most")
     return behind.groupBy("domain_id").agg(F.min_by("node", "rank").alias("node"))
+
+
+def replicated(entries: DataFrame, placed: DataFrame) -> DataFrame:
+    """One row a copy of entries (domain_id, ...): each with node and rank of every replica in placed.
+
+    A domain_id is one chunk, so its entries are bounded by the chunk limit.
+    """
+    return entries.join(placed.select("domain_id", "node", "rank"), "domain_id")
+
+
+def _places(nodes: DataFrame) -> DataFrame:
+    """node, place, total: the ring's order, with its number of nodes."""
+    total = nodes.agg(F.count("*").alias("total"))
+    return ranked(nodes).select("node", "place").crossJoin(F.broadcast(total))  # one row
+
+
+def put_targets(owned: DataFrame, holders: DataFrame, nodes: DataFrame) -> DataFrame:
+    """domain_id, node, reply: where a put for each of owned (domain_id, node) goes.
+
+    That is the first node, from the owner backwards, which holds the domain in
+    holders (domain_id, node). Without one the request comes back to the owner,
+    and the reply is invalid_domain.
+    """
+    at = owned.join(_places(nodes), "node").select("domain_id", F.col("place").alias("_from"), "total")
+    there = holders.join(_places(nodes).select("node", "place"), "node")
+    steps = F.pmod(F.col("_from") - F.col("place"), F.col("total"))
+    first = at.join(there, "domain_id", "left").groupBy("domain_id").agg(F.min_by("node", steps).alias("node"))
+    return first.withColumn("reply", F.when(F.col("node").isNull(), F.lit("invalid_domain")).otherwise(F.lit("ok")))
+
+
+def owner_hops(holders: DataFrame, owned: DataFrame, nodes: DataFrame) -> DataFrame:
+    """domain_id, node, owner, hops: steps forward on the ring from each holder that is not the owner to the owner, whom it tells of itself."""
+    places = _places(nodes)
+    own = owned.select("domain_id", F.col("node").alias("owner")).join(places.select(F.col("node").alias("owner"), F.col("place").alias("_to"), "total"), "owner")
+    rows = holders.select("domain_id", "node").join(places.select("node", "place"), "node").join(own, "domain_id").where("node <> owner")
+    return rows.select("domain_id", "node", "owner", F.pmod(F.col("_to") - F.col("place"), F.col("total")).alias("hops"))
+
+
+def any_node(nodes: DataFrame, seed: str) -> DataFrame:
+    """One node, by the least hash of node and seed: any one, and the same one for the same seed."""
+    return nodes.orderBy(F.md5(F.concat("node", F.lit(seed)).cast("binary"))).limit(1)

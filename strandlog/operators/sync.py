@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import crc_pair, leaf
+from ..functions import crc_pair, leaf, sync_id_hex
 from ..schemas import LEAVES
 
 IDS = ["time", "entry_id"]
@@ -97,12 +97,19 @@ def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b.join(a.select(*IDS), IDS, "left_anti"))
 
 
+def tree_dump(rows: DataFrame) -> DataFrame:
+    """kind, level, idx, value of a replica's tree: T rows hold a node's hash, L rows an id of a leaf (one row an id), both in hex."""
+    nodes = tree(leaves(rows)).select(F.lit("T").alias("kind"), "level", "idx", F.lpad(F.hex("hash"), 8, "0").alias("value"))
+    ids = leaf_ids(rows).select(F.lit("L").alias("kind"), F.lit(LEAVES.bit_length()).alias("level"), F.col("leaf").alias("idx"), sync_id_hex(F.col("time"), F.col("entry_id")).alias("value"))
+    return nodes.union(ids)
+
+
 def consistency(replicas: DataFrame, by: Column | str = "domain") -> DataFrame:
-    """domain, n_replicas, counts_agree, sizes_agree, roots_agree of replicas (replica, domain, entry_id, size).
+    """domain, n_replicas, counts_agree, sizes_agree, leaves_agree of replicas (replica, domain, entry_id, size).
 
-    Roots agree if the leaf hashes do; both are compared as one checksum of all leaves.
+    Leaf hashes are compared as one checksum of all leaves of a domain.
     """
     hashed = replicas.groupBy(by, "replica", leaf(F.col("entry_id")).alias("leaf")).agg(F.bit_xor("entry_id").alias("hash"), F.count("*").alias("n"), F.sum("size").alias("size"))
-    whole = hashed.groupBy(by, "replica").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.when(F.col("hash") != 0, F.xxhash64("leaf", "hash"))).alias("root"))
+    whole = hashed.groupBy(by, "replica").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.when(F.col("hash") != 0, F.xxhash64("leaf", "hash"))).alias("mark"))
     one = lambda c: F.count_distinct(c) <= 1
-    return whole.groupBy(by).agg(F.count("*").alias("n_replicas"), one("n").alias("counts_agree"), one("size").alias("sizes_agree"), one("root").alias("roots_agree"))
+    return whole.groupBy(by).agg(F.count("*").alias("n_replicas"), one("n").alias("counts_agree"), one("size").alias("sizes_agree"), one("mark").alias("leaves_agree"))

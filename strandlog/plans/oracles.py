@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import BLOCK, CHUNK_LIMIT, DOMAIN_CHUNKS, FRESH, NREPL
+from .queries import BLOCK, CHUNK_LIMIT, EARLY, FRESH, NREPL
 
 
 def _hash(text: str) -> str:
@@ -41,17 +41,33 @@ NODES = "nodes AS (SELECT md5(s_name) AS node_id, s_name AS node, s_nationkey::V
 RING = f"""{NODES}, r AS (
   SELECT *, row_number() OVER (ORDER BY node_id) - 1 AS place, count(*) OVER () AS total,
          coalesce(lead(node_id) OVER (ORDER BY node_id), 'g') AS high FROM nodes)"""
-REGISTRY = f"""reg AS (
-  SELECT DISTINCT event_type AS name, (event_id % {DOMAIN_CHUNKS})::INTEGER AS chunk,
-         md5((event_id % {DOMAIN_CHUNKS})::VARCHAR || ' ' || event_type) AS domain_id FROM events)"""
-PLACED = f"""{RING}, {REGISTRY},
-own AS (SELECT reg.*, r.node, r.host, r.place AS at, r.total FROM reg JOIN r ON (domain_id >= r.node_id OR r.place = 0) AND domain_id < r.high),
+ROLLED = f"""{P}, o AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ord) AS rn FROM p),
+r AS (
+  SELECT domain, ord, rn, 0 AS chunk, size AS acc, size, pos FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.domain, o.ord, o.rn, CASE WHEN r.acc > {CHUNK_LIMIT} THEN r.chunk + 1 ELSE r.chunk END,
+         CASE WHEN r.acc > {CHUNK_LIMIT} THEN o.size ELSE r.acc + o.size END, o.size, o.pos
+  FROM r JOIN o ON o.domain = r.domain AND o.rn = r.rn + 1)"""
+REGISTRY = f"""{ROLLED},
+ch AS (SELECT r.*, p.entry_id, md5(r.chunk::VARCHAR || ' ' || r.domain) AS domain_id FROM r JOIN p ON r.domain = p.domain AND r.ord = p.ord),
+reg AS (SELECT DISTINCT domain_id, domain AS name, chunk FROM ch)"""
+PLACED = f"""{REGISTRY}, {RING.replace("r AS (", "g AS (")},
+own AS (SELECT reg.*, g.node, g.host, g.place AS at, g.total FROM reg JOIN g ON (domain_id >= g.node_id OR g.place = 0) AND domain_id < g.high),
 c AS (
-  SELECT own.domain_id, r.node, row_number() OVER (PARTITION BY own.domain_id ORDER BY (own.at - r.place + own.total) % own.total) AS rank
-  FROM own JOIN r ON r.host <> own.host),
+  SELECT own.domain_id, g.node, row_number() OVER (PARTITION BY own.domain_id ORDER BY (own.at - g.place + own.total) % own.total) AS rank
+  FROM own JOIN g ON g.host <> own.host),
 pl AS (
   SELECT domain_id, node, 0 AS rank FROM own UNION ALL SELECT domain_id, node, rank::INTEGER FROM c WHERE rank <= {NREPL})"""
-COUNTED = f"{PLACED}, ct AS (SELECT *, ('0x' || substr(md5(domain_id || node), 1, 4))::BIGINT % 5 AS num_entries FROM pl)"
+COUNTED = f"""{PLACED}, ct AS (
+  SELECT pl.domain_id, pl.node, pl.rank, count(*) AS num_entries, sum(ch.size)::BIGINT AS size
+  FROM pl JOIN ch ON ch.domain_id = pl.domain_id WHERE (ch.ord * (pl.rank + 2)) % 7 <> 3 GROUP BY ALL)"""
+HOLDERS = f"""{PLACED}, x AS (SELECT *, substr(domain_id, 32, 1) AS last FROM pl),
+h AS (SELECT domain_id, node, rank FROM x WHERE NOT (last <= '7' AND rank = 0) AND last NOT IN ('0', 'f') AND NOT (last IN ('1', '2') AND rank = 1))"""
+LISTING = f"""{COUNTED}, k AS (SELECT domain_id, count(*) - 1 AS n_replicas FROM pl GROUP BY domain_id),
+ls AS (
+  SELECT reg.domain_id, name, chunk, pl.node, pl.rank = 0 AS owner, n_replicas, ct.num_entries, CASE WHEN ct.num_entries IS NULL THEN 'noreply' ELSE 'ok' END AS reply
+  FROM reg JOIN pl ON reg.domain_id = pl.domain_id JOIN k ON k.domain_id = pl.domain_id
+  LEFT JOIN ct ON ct.domain_id = pl.domain_id AND ct.node = pl.node AND substr(md5(ct.node), 1, 1) NOT IN ('0', '1'))"""
 AB = f"{E}, a AS (SELECT * FROM e WHERE ord % 10 <> 0), b AS (SELECT * FROM e WHERE ord % 7 <> 0)"
 
 
@@ -81,18 +97,23 @@ def _missing(here: str, there: str) -> str:
     return f"SELECT DISTINCT time, entry_id FROM {here} WHERE (time, entry_id) NOT IN (SELECT (time, entry_id) FROM {there})"
 
 
-_ROLL = f"""WITH RECURSIVE {P}, o AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ord) AS rn FROM p),
-r AS (
-  SELECT domain, ord, rn, 0 AS chunk, size AS acc, size, pos FROM o WHERE rn = 1
-  UNION ALL
-  SELECT o.domain, o.ord, o.rn, CASE WHEN r.acc > {CHUNK_LIMIT} THEN r.chunk + 1 ELSE r.chunk END,
-         CASE WHEN r.acc > {CHUNK_LIMIT} THEN o.size ELSE r.acc + o.size END, o.size, o.pos
-  FROM r JOIN o ON o.domain = r.domain AND o.rn = r.rn + 1)"""
+_ROLL = f"WITH RECURSIVE {ROLLED}"
+_CODE = """lpad(bin(min(pos)), 32, '0') || coalesce(string_agg(lpad(bin(gap), 2 * length(bin(gap))::INTEGER - 1, '0'), '' ORDER BY pos) FILTER (gap IS NOT NULL), '')
+  || CASE WHEN count(*) > 1 THEN '1' ELSE '' END"""
 
 ORACLES: dict[str, str] = {
     "lookup_many": f"WITH {P} SELECT domain, key, pos, value FROM p WHERE key IN ({URGENT})",
     "lookup_single": f"WITH {E} SELECT domain, key, arg_min(value, ord) AS value FROM e WHERE key IN ({URGENT}) GROUP BY domain, key",
     "lookup_via_index": f"WITH {P} SELECT domain, key, pos, value FROM p WHERE key IN ({URGENT})",
+    "lookup_key": f"WITH {P} SELECT domain, key, pos, value FROM p WHERE key = (SELECT min(x) FROM ({URGENT}) AS t(x))",
+    "positional_read": f"""WITH {P}, q AS (SELECT domain, pos FROM p WHERE ord % 10 = 0 UNION ALL SELECT domain, pos + 1 FROM p WHERE ord % 15 = 1)
+SELECT q.domain, q.pos, entry_id, key, CASE WHEN p.pos IS NULL THEN 'invalid_entry' ELSE 'ok' END AS reply FROM q LEFT JOIN p ON p.domain = q.domain AND p.pos = q.pos""",
+    "early_stop": f"WITH {E} SELECT domain, ord, key FROM e QUALIFY row_number() OVER (PARTITION BY domain ORDER BY ord) <= {EARLY}",
+    "grouped_pairs": f"WITH {E} SELECT key, row_number() OVER (PARTITION BY key ORDER BY ord DESC) - 1 AS nth, ord, value FROM e",
+    "folded_scan": f"""WITH {E}, l AS (SELECT size, domain <> lag(domain) OVER (ORDER BY domain, ord) AS turn FROM e)
+SELECT count(*) AS n, sum(size)::BIGINT AS size, count(*) FILTER (turn) AS changes FROM l""",
+    "frame_values": f"WITH {E} SELECT ord, CASE WHEN ord % 7 <> 0 THEN value END AS value FROM e",
+    "json_replies": f"""WITH {E} SELECT ord, '{{"ord":' || ord || ',"domain":"' || domain || '","key":"' || key || '","size":' || size || '}}' AS reply, key FROM e""",
     "entry_positions": f"WITH {P} SELECT domain, ord, entry_id, size, pos FROM p",
     "internal_external_split": f"WITH {DOCS} SELECT ord AS doc_id, flags = 1 AS external, {_bytes('value')}::BIGINT AS value_bytes, size FROM e",
     "scan_dedupe": f"""WITH {SCAN}, l AS (SELECT *, lag(entry_id) OVER (PARTITION BY domain ORDER BY ord) AS prev FROM s)
@@ -106,7 +127,7 @@ FROM s GROUP BY flags""",
   strftime(make_timestamp(time * 1000000), '%Y/%m/%d %H:%M:%S') AS written,
   lpad(upper(to_hex(time)), 8, '0') || lpad(upper(to_hex(entry_id)), 8, '0') AS sync_id, upper(to_hex(entry_id)) AS entry, (entry_id & 8191)::INTEGER AS leaf FROM e""",
     "reply_frames": f"WITH {E} SELECT ord, {_bytes('value')}::VARCHAR || ' ok ' || value AS frame FROM e",
-    "domain_registry": f"WITH {REGISTRY} SELECT domain_id, name, chunk, {NREPL} AS nrepl, upper(ltrim(domain_id, '0')) AS shown FROM reg",
+    "domain_registry": f"WITH RECURSIVE {REGISTRY} SELECT domain_id, name, chunk, {NREPL} AS nrepl, upper(ltrim(domain_id, '0')) AS shown FROM reg",
     "chunk_roll": f"{_ROLL} SELECT domain, ord, chunk FROM r",
     "chunk_sizes": f"{_ROLL} SELECT domain, chunk, count(*) AS n_entries, sum(size)::BIGINT AS size, sum(size) > {CHUNK_LIMIT} AS \"full\" FROM r GROUP BY domain, chunk",
     "stream_chunks": f"{_ROLL} SELECT domain, ord, chunk, pos FROM r",
@@ -130,18 +151,26 @@ SELECT node_id, node, ring FROM k WHERE ring = (SELECT arg_max(ring, low) FROM l
 UNION ALL SELECT node, 'unknown' FROM nodes WHERE substr(node_id, 1, 1) = '7'""",
     "successor_candidates": f"""WITH {NODES}, me AS (SELECT arg_min(node_id, node) AS me FROM nodes)
 SELECT row_number() OVER (ORDER BY node_id < me, node_id) - 1 AS rank, node_id, node FROM nodes, me WHERE node_id <> me""",
-    "replica_placement": f"WITH {PLACED} SELECT domain_id, node, rank FROM pl",
-    "redirect_target": f"""WITH {COUNTED}, m AS (SELECT domain_id, max(num_entries) AS most, max(num_entries) FILTER (rank = 0) AS own FROM ct GROUP BY domain_id)
+    "replica_placement": f"WITH RECURSIVE {PLACED} SELECT domain_id, node, rank FROM pl",
+    "replicated_entries": f"WITH RECURSIVE {PLACED} SELECT pl.domain_id, ord, entry_id, node, rank FROM pl JOIN ch ON ch.domain_id = pl.domain_id",
+    "put_target": f"""WITH RECURSIVE {HOLDERS}, s AS (
+  SELECT own.domain_id, h.node, (own.at - g.place + own.total) % own.total AS step FROM own JOIN h ON h.domain_id = own.domain_id JOIN g ON g.node = h.node),
+m AS (SELECT domain_id, arg_min(node, step) AS node FROM s GROUP BY domain_id)
+SELECT own.domain_id, m.node, CASE WHEN m.node IS NULL THEN 'invalid_domain' ELSE 'ok' END AS reply FROM own LEFT JOIN m ON m.domain_id = own.domain_id""",
+    "owner_hops": f"""WITH RECURSIVE {HOLDERS} SELECT h.domain_id, h.node, own.node AS owner, (own.at - g.place + own.total) % own.total AS hops
+FROM h JOIN own ON own.domain_id = h.domain_id JOIN g ON g.node = h.node WHERE h.node <> own.node""",
+    "any_node": f"WITH {NODES} SELECT node_id, node, host FROM nodes ORDER BY md5(node || '7') LIMIT 1",
+    "redirect_target": f"""WITH RECURSIVE {COUNTED}, m AS (SELECT domain_id, max(num_entries) AS most, max(num_entries) FILTER (rank = 0) AS own FROM ct GROUP BY domain_id)
 SELECT ct.domain_id, arg_min(ct.node, ct.rank) AS node FROM ct JOIN m ON ct.domain_id = m.domain_id
-WHERE rank > 0 AND num_entries >= most AND own < most GROUP BY ct.domain_id""",
+WHERE rank > 0 AND num_entries >= most AND coalesce(own, 0) < most GROUP BY ct.domain_id""",
     "inverted_index": f"WITH {BLOCKS} SELECT domain, block, key_hash, count(*) AS n, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM o GROUP BY domain, block, key_hash",
     "index_blocks": f"""WITH {BLOCKS}, x AS (SELECT domain, block, max(pos + size) AS range_end, count(*) AS n_entries FROM o GROUP BY domain, block)
 SELECT domain, block, coalesce(lag(range_end) OVER (PARTITION BY domain ORDER BY block), 0)::BIGINT AS range_start, range_end, n_entries FROM x""",
-    "index_gaps": f"""WITH {POSTED} SELECT domain, block, key_hash,
-  (32 + coalesce(sum(2 * length(bin(gap)) - 1), 0) + CASE WHEN count(*) > 1 THEN 1 ELSE 0 END)::BIGINT AS bits FROM g GROUP BY domain, block, key_hash""",
-    "index_codes": f"""WITH {POSTED} SELECT domain, block, key_hash,
-  lpad(bin(min(pos)), 32, '0') || coalesce(string_agg(lpad(bin(gap), 2 * length(bin(gap))::INTEGER - 1, '0'), '' ORDER BY pos) FILTER (gap IS NOT NULL), '')
-  || CASE WHEN count(*) > 1 THEN '1' ELSE '' END AS code FROM g GROUP BY domain, block, key_hash""",
+    "index_gaps": f"""WITH {POSTED}, b AS (SELECT domain, block, key_hash,
+  (32 + coalesce(sum(2 * length(bin(gap)) - 1), 0) + CASE WHEN count(*) > 1 THEN 1 ELSE 0 END)::BIGINT AS bits FROM g GROUP BY domain, block, key_hash)
+SELECT *, ((bits + 7) // 8)::BIGINT AS bytes FROM b""",
+    "index_codes": f"""WITH {POSTED}, b AS (SELECT domain, block, key_hash, {_CODE} AS code FROM g GROUP BY domain, block, key_hash)
+SELECT domain, block, key_hash, hex(from_binary(rpad(code, ((length(code) + 7) // 8 * 8)::INTEGER, '0'))) AS code FROM b""",
     "index_decoded": f"WITH {BLOCKS} SELECT domain, block, key_hash, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM o GROUP BY domain, block, key_hash",
     "index_segments": f"""WITH {BLOCKS}, x AS (SELECT domain, block, key_hash, count(*) AS n, min(pos) AS low FROM o GROUP BY domain, block, key_hash)
 SELECT domain, block, count(*) FILTER (n = 1) AS n_single, count(*) FILTER (n > 1) AS n_multi,
@@ -150,6 +179,10 @@ SELECT domain, block, count(*) FILTER (n = 1) AS n_single, count(*) FILTER (n >
 k AS (SELECT domain, max(pos + size) AS covered FROM o WHERE block < 3 GROUP BY domain)
 SELECT p.domain, p.ord, p.pos FROM p JOIN k ON p.domain = k.domain WHERE p.pos >= k.covered""",
     "leaf_hashes": f"WITH {E}, {_leaves('e', 'l')} SELECT leaf, hash, n FROM l",
+    "sync_empty_owner": f"WITH {AB} SELECT DISTINCT time, entry_id FROM b",
+    "tree_dump": f"""WITH {E}, {_leaves('e', 'l')}, {_tree('l', 't')} SELECT 'T' AS kind, level, idx, lpad(upper(to_hex(hash)), 8, '0') AS value FROM t
+UNION ALL SELECT 'L', 14, (entry_id & 8191)::INTEGER, lpad(upper(to_hex(time)), 8, '0') || lpad(upper(to_hex(entry_id)), 8, '0') FROM e""",
+    "posting_stream": f"WITH {E} SELECT domain, {_hash('key')} AS key_hash, count(*) AS n, min(ord) AS first FROM e GROUP BY domain, {_hash('key')}",
     "leaf_counts": f"WITH {E}, {_leaves('e', 'l')} SELECT min(n) AS least, quantile_disc(n, 0.5) AS middle, max(n) AS most, sum(n)::BIGINT AS total FROM l",
     "merkle_tree": f"WITH {E}, {_leaves('e', 'l')}, {_tree('l', 't')} SELECT level, idx, hash FROM t",
     "merkle_descent": f"WITH {AB}, {_leaves('a', 'la')}, {_leaves('b', 'lb')} SELECT la.leaf FROM la JOIN lb ON la.leaf = lb.leaf WHERE la.hash <> lb.hash",
@@ -165,17 +198,24 @@ SELECT time, entry_id, arg_max(key, arrival) FROM v WHERE (time, entry_id) NOT I
 x AS (SELECT *, 'a' AS replica FROM u UNION ALL SELECT *, 'b' FROM u WHERE ord % 1000 <> 1 OR domain > 'c'),
 h AS (SELECT domain, replica, entry_id & 8191 AS leaf, bit_xor(entry_id) AS hash, count(*) AS n, sum(size) AS size FROM x GROUP BY ALL),
 w AS (SELECT domain, replica, sum(n) AS n, sum(size) AS size, string_agg(leaf::VARCHAR || ':' || hash::VARCHAR, ',' ORDER BY leaf) FILTER (hash <> 0) AS root FROM h GROUP BY ALL)
-SELECT domain, count(*) AS n_replicas, count(DISTINCT n) <= 1 AS counts_agree, count(DISTINCT size) <= 1 AS sizes_agree, count(DISTINCT root) <= 1 AS roots_agree FROM w GROUP BY domain""",
+SELECT domain, count(*) AS n_replicas, count(DISTINCT n) <= 1 AS counts_agree, count(DISTINCT size) <= 1 AS sizes_agree, count(DISTINCT root) <= 1 AS leaves_agree FROM w GROUP BY domain""",
     "external_census": f"""WITH {DOCS} SELECT domain, count(*) AS n_external, count(*) FILTER (ord NOT IN (SELECT doc_id FROM labels)) AS n_missing FROM e WHERE flags = 1 GROUP BY domain""",
     "external_missing": f"WITH {DOCS} SELECT ord AS doc_id, domain FROM e WHERE flags = 1 AND ord NOT IN (SELECT doc_id FROM labels)",
     "recent_stats": f"""SELECT key, rank::INTEGER AS rank, ts, value FROM (
   SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rank, ts, value FROM events) WHERE rank <= {FRESH}""",
     "replica_status": f"WITH {E} SELECT 'n1' AS node, domain AS domain_id, count(*) AS num_entries, sum(size)::BIGINT AS size, sum(size) > {CHUNK_LIMIT} AS \"full\" FROM e GROUP BY domain",
-    "domain_listing": f"""WITH {COUNTED}, k AS (SELECT domain_id, count(*) - 1 AS n_replicas FROM pl GROUP BY domain_id)
-SELECT name, chunk, pl.node, pl.rank = 0 AS owner, n_replicas, ct.num_entries, CASE WHEN ct.num_entries IS NULL THEN 'noreply' ELSE 'ok' END AS reply
-FROM reg JOIN pl ON reg.domain_id = pl.domain_id JOIN k ON k.domain_id = pl.domain_id
-LEFT JOIN ct ON ct.domain_id = pl.domain_id AND ct.node = pl.node AND ct.num_entries > 0""",
-    "domain_filter": f"WITH {REGISTRY} SELECT name, chunk, domain_id FROM reg WHERE contains(name, 'c')",
+    "domain_listing": f"WITH RECURSIVE {LISTING} SELECT * FROM ls",
+    "node_domains": f"WITH RECURSIVE {LISTING} SELECT domain_id, name, chunk, owner, n_replicas, reply FROM ls WHERE node = (SELECT min(node) FROM nodes)",
+    "domain_status": f"""WITH RECURSIVE {LISTING} SELECT row_number() OVER (ORDER BY owner DESC, node) - 1 AS place, node, owner, num_entries, reply
+FROM ls WHERE domain_id = (SELECT min(domain_id) FROM ls)""",
+    "replica_report": f"""WITH RECURSIVE {COUNTED}, m AS (SELECT domain_id, max(num_entries) AS most FROM ct WHERE rank > 0 GROUP BY domain_id)
+SELECT ct.domain_id, node, rank = 0 AS owner, num_entries, size, size > {CHUNK_LIMIT} AS "full",
+  (CASE WHEN rank = 0 THEN coalesce(most, 0) ELSE 0 END)::BIGINT AS max_repl_entries FROM ct LEFT JOIN m ON m.domain_id = ct.domain_id""",
+    "ring_report": f"""WITH {RING} SELECT r.node, x.node AS previous_node, y.node AS next_node, true AS ok, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS free
+FROM r JOIN r x ON x.place = (r.place - 1 + r.total) % r.total JOIN r y ON y.place = (r.place + 1) % r.total JOIN supplier ON s_name = r.node""",
+    "recent_live": f"""SELECT key, rank::INTEGER AS rank, ts, value FROM (
+  SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rank, ts, value FROM events) WHERE rank <= {FRESH}""",
+    "domain_filter": f"WITH RECURSIVE {REGISTRY} SELECT name, chunk, domain_id FROM reg WHERE contains(name, 'c')",
     "log_round_trip": f"WITH {E} SELECT time, entry_id, flags, size, key, value FROM e",
     "log_external_values": f"WITH {DOCS} SELECT entry_id, flags = 1 AS external, size, md5(value) AS value_md5 FROM e",
 }

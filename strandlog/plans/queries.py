@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..operators import chunks, entries, external, index, lookup, monitor, ring, sync
 from ..sources import entrylog
-from ..sources.shared import new_path
-from ..streaming import chunk_stream
+from ..sources.shared import new_path, written
+from ..streaming import chunk_stream, recent_stream
+from ..streaming import posting_stream as postings_of_stream
 
-CHUNK_LIMIT, BLOCK, NREPL, DOMAIN_CHUNKS, FRESH = 20_000, 1000, 3, 20, 5
+CHUNK_LIMIT, BLOCK, NREPL, FRESH, EARLY = 20_000, 1000, 3, 5, 100
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -55,20 +56,40 @@ def supplier_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.nodes_of(table(spark, sf_dir, "supplier"), F.col("s_name"), F.col("s_nationkey"))
 
 
-def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event entries with their chunk and its domain id."""
+    rolled = chunks.rolled(entries.positioned(event_entries(spark, sf_dir)), CHUNK_LIMIT)
+    return rolled.withColumn("domain_id", fn.domain_id(F.col("domain"), F.col("chunk")))
+
+
+def registry(rows: DataFrame) -> DataFrame:
     """Chunks of the event domains."""
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), (F.col("event_id") % DOMAIN_CHUNKS).cast("int").alias("chunk")).distinct()
-    return rows.select(fn.domain_id(F.col("name"), F.col("chunk")).alias("domain_id"), "name", "chunk", F.lit(NREPL).alias("nrepl"))
+    return rows.select("domain_id", F.col("domain").alias("name"), "chunk").distinct().withColumn("nrepl", F.lit(NREPL))
 
 
-def placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+def placement(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     nodes = supplier_nodes(spark, sf_dir)
-    return ring.placed_replicas(ring.owners(registry(spark, sf_dir), "domain_id", nodes), nodes)
+    return ring.placed_replicas(ring.owners(registry(rows), "domain_id", nodes), nodes)
+
+
+def copies(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """domain_id, node, rank, num_entries, size of the copies, each of which has lost some entries."""
+    held = ring.replicated(rows, placed).where((F.col("ord") * (F.col("rank") + 2)) % 7 != 3)
+    return held.groupBy("domain_id", "node", "rank").agg(F.count("*").alias("num_entries"), F.sum("size").alias("size"))
+
 
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The domain listing, where nodes whose id begins with 0 or 1 do not answer."""
+    rows = chunked(spark, sf_dir)
+    placed = placement(spark, sf_dir, rows)
+    answers = copies(rows, placed).where(~F.substring(F.md5(F.col("node").cast("binary")), 1, 1).isin("0", "1"))
+    return monitor.domain_listing(registry(rows), placed, answers)
 
-def copy_counts(placed: DataFrame) -> DataFrame:
-    """Copies with a made-up number of entries."""
-    return placed.withColumn("num_entries", F.conv(F.substring(F.md5(F.concat("domain_id", "node").cast("binary")), 1, 4), 16, 10).cast("long") % 5)
+
+def holders(placed: DataFrame) -> DataFrame:
+    """Copies that are there: of some domains not the owner's, of others none."""
+    last = F.substring("domain_id", 32, 1)
+    return placed.where(~(last.isin(*"01234567") & (F.col("rank") == 0)) & ~last.isin("0", "f") & ~(last.isin("1", "2") & (F.col("rank") == 1)))
 
 
 def replicas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -100,9 +121,67 @@ def lookup_via_index(spark, sf_dir):
     return lookup.via_index(rows, index.postings(index.blocked(rows, BLOCK)), urgent_keys(spark, sf_dir)).select("domain", "key", "pos", "value")
 
 
+@query
+def lookup_key(spark, sf_dir):
+    """All values of the least requested key."""
+    key = urgent_keys(spark, sf_dir).agg(F.min("key").alias("key")).first()["key"] or ""
+    return lookup.of_key(entries.positioned(event_entries(spark, sf_dir)), key).select("domain", "key", "pos", "value")
+
+
+@query
+def positional_read(spark, sf_dir):
+    """Reads at every tenth entry's byte, and at bytes inside others."""
+    rows = entries.positioned(event_entries(spark, sf_dir))
+    asked = rows.where("ord % 10 = 0").select("domain", "pos").union(rows.where("ord % 15 = 1").select("domain", F.col("pos") + 1))
+    return lookup.at(rows, asked).select("domain", "pos", "entry_id", "key", "reply")
+
+
 # entries and scans
 
 
+@query
+def early_stop(spark, sf_dir):
+    return entries.first_entries(event_entries(spark, sf_dir), EARLY).select("domain", "ord", "key")
+
+
+@query
+def grouped_pairs(spark, sf_dir):
+    return entries.grouped_pairs(event_entries(spark, sf_dir), ["key"], "ord").select("key", "nth", "ord", "value")
+
+
+@query
+def folded_scan(spark, sf_dir):
+    """A fold of the caller's: number of entries, their bytes, and how often the domain changes from one to the next."""
+
+    def step(state, entry):
+        n, size, changes, first, last = state
+        return n + 1, size + entry["size"], changes + (n > 0 and entry["domain"] != last), first if n else entry["domain"], entry["domain"]
+
+    def merge(a, b):
+        if not a[0] or not b[0]:
+            return b if not a[0] else a
+        return a[0] + b[0], a[1] + b[1], a[2] + b[2] + (a[4] != b[3]), a[3], b[4]
+
+    n, size, changes, *_ = entries.folded(event_entries(spark, sf_dir).select("domain", "ord", "size"), (0, 0, 0, None, None), step, merge)
+    return spark.createDataFrame([(n, size, changes)], "n long, size long, changes long")
+
+
+@query
+def frame_values(spark, sf_dir):
+    """Values framed for a reply and read back; every seventh frame is cut short."""
+    framed = event_entries(spark, sf_dir).select("ord", fn.frame(F.col("value")).alias("frame"))
+    cut = F.when(F.col("ord") % 7 == 0, F.expr("substring(frame, 1, length(frame) - 1)")).otherwise(F.col("frame"))
+    return framed.select("ord", fn.frame_value(cut).alias("value"))
+
+
+@query
+def json_replies(spark, sf_dir):
+    """Entries as JSON replies, and the key that is read back from each."""
+    reply = F.to_json(F.struct("ord", "domain", "key", "size"))
+    rows = event_entries(spark, sf_dir).select("ord", reply.alias("reply"))
+    return rows.select("ord", "reply", F.from_json("reply", "ord long, domain string, key string, size long")["key"].alias("key"))
+
+
 @query
 def entry_positions(spark, sf_dir):
     return entries.positioned(event_entries(spark, sf_dir)).select("domain", "ord", "entry_id", "size", "pos")
@@ -148,7 +227,7 @@ def reply_frames(spark, sf_dir):
 
 @query
 def domain_registry(spark, sf_dir):
-    return registry(spark, sf_dir).withColumn("shown", fn.display_id(F.col("domain_id")))
+    return registry(chunked(spark, sf_dir)).withColumn("shown", fn.display_id(F.col("domain_id")))
 
 
 @query
@@ -232,12 +311,36 @@ def successor_candidates(spark, sf_dir):
 
 @query
 def replica_placement(spark, sf_dir):
-    return placement(spark, sf_dir)
+    return placement(spark, sf_dir, chunked(spark, sf_dir))
+
+
+@query
+def replicated_entries(spark, sf_dir):
+    rows = chunked(spark, sf_dir)
+    return ring.replicated(rows, placement(spark, sf_dir, rows)).select("domain_id", "ord", "entry_id", "node", "rank")
 
 
 @query
 def redirect_target(spark, sf_dir):
-    return ring.redirect(copy_counts(placement(spark, sf_dir)))
+    rows = chunked(spark, sf_dir)
+    return ring.redirect(copies(rows, placement(spark, sf_dir, rows)))
+
+
+@query
+def put_target(spark, sf_dir):
+    placed = placement(spark, sf_dir, chunked(spark, sf_dir))
+    return ring.put_targets(placed.where("rank = 0"), holders(placed), supplier_nodes(spark, sf_dir))
+
+
+@query
+def owner_hops(spark, sf_dir):
+    placed = placement(spark, sf_dir, chunked(spark, sf_dir))
+    return ring.owner_hops(holders(placed), placed.where("rank = 0"), supplier_nodes(spark, sf_dir))
+
+
+@query
+def any_node(spark, sf_dir):
+    return ring.any_node(supplier_nodes(spark, sf_dir), "7")
 
 
 # index
@@ -256,12 +359,12 @@ def index_blocks(spark, sf_dir):
 
 @query
 def index_gaps(spark, sf_dir):
-    return index.gaps(index.postings(blocks(spark, sf_dir))).select("domain", "block", "key_hash", "bits")
+    return index.gaps(index.postings(blocks(spark, sf_dir))).select("domain", "block", "key_hash", "bits", fn.padded_bytes(F.col("bits")).alias("bytes"))
 
 
 @query
 def index_codes(spark, sf_dir):
-    return index.encoded(index.postings(blocks(spark, sf_dir)))
+    return index.encoded(index.postings(blocks(spark, sf_dir))).withColumn("code", F.hex("code"))
 
 
 @query
@@ -282,9 +385,34 @@ def index_tail(spark, sf_dir):
     return index.tail(rows, known).select("domain", "ord", "pos")
 
 
+@query
+def posting_stream(spark, sf_dir):
+    """Postings of a stream of entries, a segment a batch; here, how many positions each key has in all of them."""
+    source = table(spark, sf_dir, "events")
+    arriving = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
+    rows = entries.entries(arriving, F.col("event_type"), F.col("user_id"), F.col("props"), F.col("event_id"), F.lit(0).cast("long"))
+    out = new_path(spark, "postings")
+    postings_of_stream(rows.withColumn("pos", F.col("ord")), out, f"{out}-state").awaitTermination()
+    found = spark.read.parquet(out)
+    return found.groupBy("domain", "key_hash").agg(F.sum(F.size("positions")).alias("n"), F.min(F.get("positions", F.lit(0))).alias("first"))
+
+
 # synchronisation
 
 
+@query
+def sync_empty_owner(spark, sf_dir):
+    """What a replica sends to an owner that has nothing."""
+    _, b = replicas(spark, sf_dir)
+    empty = b.where("false")
+    return sync.missing(b, empty, sync.leaf_diff(empty, b))
+
+
+@query
+def tree_dump(spark, sf_dir):
+    return sync.tree_dump(event_entries(spark, sf_dir))
+
+
 @query
 def leaf_hashes(spark, sf_dir):
     return sync.leaves(event_entries(spark, sf_dir))
@@ -374,13 +502,51 @@ def replica_status(spark, sf_dir):
 
 @query
 def domain_listing(spark, sf_dir):
-    placed = placement(spark, sf_dir)
-    return monitor.domain_listing(registry(spark, sf_dir), placed, copy_counts(placed).where("num_entries > 0"))
+    return listing(spark, sf_dir)
+
+
+@query
+def node_domains(spark, sf_dir):
+    rows = listing(spark, sf_dir)
+    node = supplier_nodes(spark, sf_dir).agg(F.min("node").alias("node")).first()["node"] or ""
+    return monitor.on_node(rows, node).select("domain_id", "name", "chunk", "owner", "n_replicas", "reply")
+
+
+@query
+def domain_status(spark, sf_dir):
+    """Every copy of the domain with the least id."""
+    rows = written(listing(spark, sf_dir), "listing")
+    least = rows.agg(F.min("domain_id").alias("id")).first()["id"] or "0"
+    return monitor.of_domain(rows, f"0x{least}")
+
+
+@query
+def replica_report(spark, sf_dir):
+    rows = chunked(spark, sf_dir)
+    placed = placement(spark, sf_dir, rows)
+    return monitor.replica_report(placed, copies(rows, placed).drop("rank"), CHUNK_LIMIT)
+
+
+@query
+def ring_report(spark, sf_dir):
+    linked = ring.neighbours(supplier_nodes(spark, sf_dir))
+    health = ring.health(linked.select("node_id", "node", F.col("previous_node").alias("prev_node"), "next_node"))
+    stats = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_name").alias("node"), F.col("s_acctbal").alias("free"))
+    return monitor.ring_report(health, linked, stats)
 
 
 @query
 def domain_filter(spark, sf_dir):
-    return monitor.matching(registry(spark, sf_dir), "c").select("name", "chunk", "domain_id")
+    return monitor.matching(registry(chunked(spark, sf_dir)), "c").select("name", "chunk", "domain_id")
+
+
+@query
+def recent_live(spark, sf_dir):
+    """recent_stats by a stream: the table as files that arrive."""
+    source = table(spark, sf_dir, "events")
+    arriving = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
+    out = new_path(spark, "recent")
+    return recent_stream(arriving.select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), "ts", "value"), out, f"{out}-state", FRESH).select("key", "rank", "ts", "value")
 
 
 # log files

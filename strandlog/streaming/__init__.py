@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..functions import key_hash
-from ..operators import chunks, ordering
+from ..operators import chunks, monitor, ordering
 from ..schemas import CHUNK_BYTES
 from ..sources.shared import written
 
@@ -63,3 +64,26 @@ def posting_stream(entries: DataFrame, path: str, checkpoint: str):
         found.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return entries.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def recent_stream(samples: DataFrame, path: str, checkpoint: str, n: int) -> DataFrame:
+    """The last n samples of each key (key, rank, id, ts, value) of a stream of samples (key, id, ts, value), after all that has arrived.
+
+    Each batch is joined with what the batches before left, n rows a key.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        found = monitor.recent(batch, n, ["id"])
+        if number:
+            held = batch.sparkSession.read.parquet(f"{path}/batch={number - 1}")
+            found = monitor.recent(found.drop("rank").unionByName(held.drop("rank")), n, ["id"])
+        # a batch that is run again writes its own folder again
+        found.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    samples.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = samples.sparkSession
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException:  # nothing has arrived yet
+        return spark.createDataFrame([], samples.schema).withColumn("rank", F.lit(0))
+    return found.where(F.col("batch") == found.agg(F.max("batch").alias("b")).first()["b"]).drop("batch")

@@ -96,7 +96,7 @@ def test_two_replicas_meet():
     a, b = frame(rows[:900], schema), frame(rows[700:], schema)
     both = sync.merged(a, b).withColumn("replica", F.lit("a")).unionByName(sync.merged(b, a).withColumn("replica", F.lit("b")))
     found = sync.consistency(both).first()
-    assert both.count() == 3200 and found["counts_agree"] and found["roots_agree"]
+    assert both.count() == 3200 and found["counts_agree"] and found["leaves_agree"]
 
 
 def test_ring_rules():
