@@ -63,6 +63,36 @@ def rolled(entries: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
     return summed.withColumn("chunk", (F.col("_chunks") + F.coalesce("_begins", F.lit(0)) - 1).cast("int")).drop("_begins", "_chunks")
 
 
+#: Per domain: the open chunk, its bytes, the bytes written so far and the last entry id.
+OPEN = "domain string, chunk int, size long, pos long, last long"
+
+
+def rolled_on(batch: DataFrame, state: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
+    """domain, ord, entry_id, size, pos, chunk, carried of a batch of entries (domain, ord, entry_id, size) that follows others.
+
+    state (OPEN) is what the batches before left; its open chunks are carried
+    rows, as one entry a domain. An entry with the id of the one before it is a
+    repeated delivery and is dropped.
+    """
+    rows = written(batch.select("domain", F.col("ord").cast("long").alias("ord"), F.col("entry_id").cast("long").alias("entry_id"), F.col("size").cast("long").alias("size")), "arrived")
+    firsts = rows.groupBy("domain").agg((F.min("ord") - 1).alias("ord"))
+    held = state.join(firsts, "domain").select("domain", "ord", F.col("last").alias("entry_id"), "size", F.lit(True).alias("carried"))
+    seen = ordering.previous(rows.withColumn("carried", F.lit(False)).unionByName(held), ["domain"], ["ord"], ["entry_id"])
+    fresh = seen.where(F.col("_previous").isNull() | (F.col("_previous.entry_id") != F.col("entry_id"))).drop("_previous")
+    summed = ordering.running_sum(fresh, ["domain"], ["ord"], F.col("size"), "_sum")
+    bases = state.select("domain", (F.col("pos") - F.col("size")).alias("_base"), F.col("chunk").alias("_chunk"))
+    placed = summed.join(bases, "domain", "left").withColumn("pos", F.col("_sum") + F.coalesce("_base", F.lit(0)))
+    found = rolled(placed, limit)
+    chunk = (F.col("chunk") + F.coalesce("_chunk", F.lit(0))).cast("int").alias("chunk")
+    return found.select("domain", "ord", "entry_id", "size", "pos", chunk, "carried")
+
+
+def open_chunks(rolled_: DataFrame) -> DataFrame:
+    """The state (OPEN) that rolled entries leave: a row a domain."""
+    ends = rolled_.groupBy("domain", "chunk").agg(F.sum("size").alias("size"), F.max(F.col("pos") + F.col("size")).alias("pos"), F.max_by("entry_id", "ord").alias("last"))
+    return ends.groupBy("domain").agg(F.max(F.struct("chunk", "size", "pos", "last")).alias("s")).select("domain", "s.*")
+
+
 def chunk_sizes(chunked: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
     """domain, chunk, n_entries, size, full of each chunk."""
     sizes = chunked.groupBy("domain", "chunk").agg(F.count("*").alias("n_entries"), F.sum("size").alias("size"))

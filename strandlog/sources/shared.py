@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder in spark.checkpoint.dir; where it is unset, the session's checkpoint folder, which local sessions get as a temporary one.
+
+    On a cluster a temporary folder of the driver is none that executors see, so one that is unset is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandlog-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
@@ -32,6 +37,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def claimed(spark: SparkSession, path: str) -> bool:
+    """Makes an empty file unless it is there; of callers at a time, one gets True."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(where.getParent())
+    return store.createNewFile(where)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared storage, if it is there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,28 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import key_hash
-from ..operators import chunks, monitor, ordering
+from ..operators import chunks, monitor
 from ..schemas import CHUNK_BYTES
 from ..sources.shared import written
 
 CHUNKED = "domain string, ord long, chunk int, pos long"
-#: Per domain: the open chunk, its bytes, the bytes written so far and the last entry id.
-OPEN = "domain string, chunk int, size long, pos long, last long"
-
-
-def _rolled_on(batch: DataFrame, state: DataFrame, limit: int) -> DataFrame:
-    """domain, ord, entry_id, size, pos, chunk, carried of a batch of entries and, as one entry a domain, the open chunks before it."""
-    rows = written(batch.select("domain", F.col("ord").cast("long").alias("ord"), F.col("entry_id").cast("long").alias("entry_id"), F.col("size").cast("long").alias("size")), "arrived")
-    firsts = rows.groupBy("domain").agg((F.min("ord") - 1).alias("ord"))
-    held = state.join(firsts, "domain").select("domain", "ord", F.col("last").alias("entry_id"), "size", F.lit(True).alias("carried"))
-    seen = ordering.previous(rows.withColumn("carried", F.lit(False)).unionByName(held), ["domain"], ["ord"], ["entry_id"])
-    fresh = seen.where(F.col("_previous").isNull() | (F.col("_previous.entry_id") != F.col("entry_id"))).drop("_previous")
-    summed = ordering.running_sum(fresh, ["domain"], ["ord"], F.col("size"), "_sum")
-    bases = state.select("domain", (F.col("pos") - F.col("size")).alias("_base"), F.col("chunk").alias("_chunk"))
-    placed = summed.join(bases, "domain", "left").withColumn("pos", F.col("_sum") + F.coalesce("_base", F.lit(0)))
-    found = chunks.rolled(placed, limit)
-    chunk = (F.col("chunk") + F.coalesce("_chunk", F.lit(0))).cast("int").alias("chunk")
-    return found.select("domain", "ord", "entry_id", "size", "pos", chunk, "carried")
+#: Bytes of a log whose postings lie in one list.
+SPAN = 1 << 26
 
 
 def chunk_stream(entries: DataFrame, path: str, checkpoint: str, limit: int = CHUNK_BYTES):
@@ -42,24 +27,26 @@ def chunk_stream(entries: DataFrame, path: str, checkpoint: str, limit: int = CH
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        reader = batch.sparkSession.read.schema(OPEN)
-        state = reader.parquet(f"{path}-open/batch={number - 1}") if number else batch.sparkSession.createDataFrame([], OPEN)
-        found = written(_rolled_on(batch, state, limit), "rolled")
+        reader = batch.sparkSession.read.schema(chunks.OPEN)
+        state = reader.parquet(f"{path}-open/batch={number - 1}") if number else batch.sparkSession.createDataFrame([], chunks.OPEN)
+        found = written(chunks.rolled_on(batch, state, limit), "rolled")
         # a batch that is run again writes its own folders again
         found.where(~F.col("carried")).select("domain", "ord", "chunk", "pos").write.mode("overwrite").parquet(f"{path}/batch={number}")
-        ends = found.groupBy("domain", "chunk").agg(F.sum("size").alias("size"), F.max(F.col("pos") + F.col("size")).alias("pos"), F.max_by("entry_id", "ord").alias("last"))
-        last = ends.groupBy("domain").agg(F.max(F.struct("chunk", "size", "pos", "last")).alias("s")).select("domain", "s.*")
+        last = chunks.open_chunks(found)
         last.unionByName(state.join(last, "domain", "left_anti")).write.mode("overwrite").parquet(f"{path}-open/batch={number}")
 
     return entries.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def posting_stream(entries: DataFrame, path: str, checkpoint: str):
-    """Appends postings (domain, key_hash, batch, positions) of each batch to the table at path; a batch is an index segment."""
+    """Appends postings (domain, span, key_hash, batch, positions) of each batch to the table at path; a batch is an index segment.
+
+    A list holds the positions of SPAN bytes, so a frequent key has many lists.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
-        hashed = batch.select("domain", key_hash(F.col("key")).alias("key_hash"), "pos")
-        found = hashed.groupBy("domain", "key_hash").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        hashed = batch.select("domain", key_hash(F.col("key")).alias("key_hash"), F.floor(F.col("pos") / SPAN).alias("span"), "pos")
+        found = hashed.groupBy("domain", "span", "key_hash").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
         # a batch that is run again writes its own folder again
         found.write.mode("overwrite").parquet(f"{path}/batch={number}")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandlog import functions as fn
 from strandlog.api import Archive, DomainExists, InvalidDomain
-from strandlog.operators import chunks, index, ordering, ring, sync
+from strandlog.operators import chunks, entries, index, monitor, ordering, ring, sync
 from strandlog.streaming import chunk_stream
 
 from .session import spark
@@ -60,7 +60,7 @@ def test_posting_lists_come_back():
     back = {r["key_hash"]: r["positions"] for r in index.decoded(index.encoded(found)).collect()}
     assert back == {k: p for _, _, k, p in rows}
     sizes = {r["key_hash"]: r["bits"] for r in index.gaps(found).collect()}
-    assert sizes == {r["key_hash"]: len(r["code"]) for r in index.encoded(found).collect()}
+    assert {k: -(-n // 8) for k, n in sizes.items()} == {r["key_hash"]: len(r["code"]) for r in index.encoded(found).collect()}
 
 
 def test_tree_equals_plain_checksums_and_ignores_order():
@@ -128,6 +128,57 @@ def test_archive():
         store.put("orchard", frame([(1, "k" * 4096, "v")], "o long, key string, value string"), "o")
 
 
+def test_archive_rolls_chunks_and_reads_over_them():
+    store = Archive(spark(), tempfile.mkdtemp(prefix="spark-"), chunk_bytes=500)
+    store.create("logs", noindex="true", nrepl="2")
+    rng, sizes, chunk, held = random.Random(3), {}, 0, 0
+    for batch in range(1, 4):
+        rows = [(i, f"k{i % 3}", "v" * rng.randrange(0, 90) + str(i)) for i in range(30)]
+        store.put("logs", frame(rows, "o long, key string, value string").repartition(3), "o")
+        for o, key, value in rows:
+            if held > 500:
+                chunk, held = chunk + 1, 0
+            sizes[batch, o] = chunk
+            held += 40 + len(key) + len(value)
+    found = {(r["batch"], r["ord"]): r["chunk"] for r in store.scan("logs").collect()}
+    assert found == sizes and chunk > 5
+    listed = store.domains().collect()
+    assert sorted(r["chunk"] for r in listed) == list(range(chunk + 1)) and len({r["domain_id"] for r in listed}) == chunk + 1
+    assert all(r["noindex"] and r["nrepl"] == 2 for r in listed)
+    assert store.get("logs", "k1").count() == 30
+    store.delete("logs")
+    assert store.domains().count() == store.scan("logs").count() == 0
+    store.create("logs")
+    with pytest.raises(InvalidDomain):
+        store.delete("other")
+    for bad in ({"nrepl": "x"}, {"keycache": "maybe"}, {"unknown": 1}, {"nrepl": -1}):
+        with pytest.raises(ValueError):
+            store.create("new", **bad)
+    store.create("new")  # a refused option leaves the name free
+
+
+def test_fold_stops_early():
+    rows = frame([("d", i, i) for i in range(1000)], "domain string, ord long, v long").repartition(5)
+
+    def step(state, entry):
+        if entry["v"] == 700:
+            raise entries.Stop(state)
+        return state + [entry["v"]] if len(state) < 3 else state[:2] + [entry["v"]]
+
+    merge = lambda a, b: b if not a else a if not b else [*a[:2], b[-1]]
+    assert entries.folded(rows, [], step, merge) == [0, 1, 699]
+    assert entries.folded(rows.where("false"), [], step, merge) == []
+
+
+def test_small_functions():
+    row = frame([("/a//b/c", 33)], "p string, n long").select(fn.path_parts(F.col("p")).alias("p"), fn.padded_bytes(F.col("n")).alias("n")).first()
+    assert row["p"] == ["a", "b", "c"] and row["n"] == 5
+    assert monitor.domain_number("0xFf") == "0" * 30 + "ff" == monitor.domain_number("255")
+    for bad in ("0x", "ff", "-1", str(1 << 128)):
+        with pytest.raises(ValueError):
+            monitor.domain_number(bad)
+
+
 def test_guard():
     assert frame([(2**32 - 1,)], "n long").select(fn.guard_u32(F.col("n")).alias("n")).first()["n"] == 2**32 - 1
     with pytest.raises(Exception, match="unsigned"):
