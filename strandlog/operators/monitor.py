@@ -35,6 +35,12 @@ def on_node(listing: DataFrame, node: str) -> DataFrame:
     return listing.where(F.col("node") == node)
 
 
+def by_name(listing: DataFrame, name: str) -> DataFrame:
+    """domain_id, name, chunk, n_copies, n_replies, num_entries (the most of a copy) of the chunks of one domain: a row a chunk."""
+    found = listing.where(F.col("name") == name).groupBy("domain_id", "name", "chunk")
+    return found.agg(F.count("*").alias("n_copies"), F.count_if(F.col("reply") == "ok").alias("n_replies"), F.max("num_entries").alias("num_entries"))
+
+
 def domain_number(text: str) -> str:
     """A domain id given as a decimal number, or in hex behind 0x, as 32 hex digits; ValueError for any other text."""
     number = int(text[2:], 16) if text[:2].lower() == "0x" else int(text, 10)

@@ -26,6 +26,11 @@ def named_nodes(df: DataFrame, name: str, prefix: str) -> DataFrame:
     return df.where(digits != "").withColumn("node_id", F.lpad(F.lower(digits), 32, "0")).orderBy("node_id")
 
 
+def discovered(df: DataFrame, name: str, prefix: str, host: str, hosts: DataFrame) -> DataFrame:
+    """The named nodes (``named_nodes``) on the listed hosts (host)."""
+    return named_nodes(df.join(hosts.select(F.col("host").alias(host)), host, "left_semi"), name, prefix)
+
+
 def ranked(nodes: DataFrame) -> DataFrame:
     """Adds place: the node's number in the ring, from 0."""
     return ordering.numbered(nodes, ["node_id"], "place")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crc_pair, leaf, sync_id_hex
 from ..schemas import LEAVES
+from ..sources.shared import written
 
 IDS = ["time", "entry_id"]
 
@@ -97,6 +98,20 @@ def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b.join(a.select(*IDS), IDS, "left_anti"))
 
 
+def resync(owner: DataFrame, replica: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """Both copies after one round: leaf hashes tell where they differ, ids in those leaves what each lacks, and that is sent.
+
+    ``order`` is the column by which entries arrive.
+    """
+    differ = written(leaf_diff(owner, replica), "leaves")
+
+    def got(here: DataFrame, there: DataFrame) -> DataFrame:
+        asked = missing(there, here, differ).withColumn("requester", F.lit("here"))
+        return inbox(here, outbox(there, asked).drop("requester").withColumn("arrival", F.col(order)))
+
+    return got(owner, replica), got(replica, owner)
+
+
 def tree_dump(rows: DataFrame) -> DataFrame:
     """kind, level, idx, value of a replica's tree: T rows hold a node's hash, L rows an id of a leaf (one row an id), both in hex."""
     nodes = tree(leaves(rows)).select(F.lit("T").alias("kind"), "level", "idx", F.lpad(F.hex("hash"), 8, "0").alias("value"))

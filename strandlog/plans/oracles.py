@@ -134,6 +134,8 @@ FROM s GROUP BY flags""",
     "owner_lookup": f"""WITH {RING}, q AS (SELECT event_id, md5(event_id::VARCHAR) AS request_id FROM events)
 SELECT event_id, request_id, coalesce(r.node, (SELECT node FROM r WHERE place = 0)) AS node FROM q ASOF LEFT JOIN r ON q.request_id >= r.node_id""",
     "node_sort": f"WITH {NODES} SELECT 'strand-' || upper(node_id) AS name, node_id FROM nodes",
+    "node_discovery": f"""WITH {NODES} SELECT 'strand-' || node_id AS name, node_id, host FROM nodes
+WHERE host::INTEGER % 3 <> 0 AND host IN (SELECT n_nationkey::VARCHAR FROM nation WHERE n_nationkey % 2 = 0)""",
     "ring_neighbours": f"""WITH {RING} SELECT r.node_id, r.node, x.node AS previous_node, y.node AS next_node
 FROM r JOIN r x ON x.place = (r.place - 1 + r.total) % r.total JOIN r y ON y.place = (r.place + 1) % r.total""",
     "ring_health": f"""WITH {RING}, l AS (
@@ -180,6 +182,8 @@ k AS (SELECT domain, max(pos + size) AS covered FROM o WHERE block < 3 GROUP BY
 SELECT p.domain, p.ord, p.pos FROM p JOIN k ON p.domain = k.domain WHERE p.pos >= k.covered""",
     "leaf_hashes": f"WITH {E}, {_leaves('e', 'l')} SELECT leaf, hash, n FROM l",
     "sync_empty_owner": f"WITH {AB} SELECT DISTINCT time, entry_id FROM b",
+    "resync": f"""WITH {AB}, u AS (SELECT time, entry_id, key FROM a UNION SELECT time, entry_id, key FROM b)
+SELECT 'owner' AS copy, time, entry_id, key FROM u UNION ALL SELECT 'replica', time, entry_id, key FROM u""",
     "tree_dump": f"""WITH {E}, {_leaves('e', 'l')}, {_tree('l', 't')} SELECT 'T' AS kind, level, idx, lpad(upper(to_hex(hash)), 8, '0') AS value FROM t
 UNION ALL SELECT 'L', 14, (entry_id & 8191)::INTEGER, lpad(upper(to_hex(time)), 8, '0') || lpad(upper(to_hex(entry_id)), 8, '0') FROM e""",
     "posting_stream": f"WITH {E} SELECT domain, {_hash('key')} AS key_hash, count(*) AS n, min(ord) AS first FROM e GROUP BY domain, {_hash('key')}",
@@ -206,6 +210,8 @@ SELECT domain, count(*) AS n_replicas, count(DISTINCT n) <= 1 AS counts_agree, c
     "replica_status": f"WITH {E} SELECT 'n1' AS node, domain AS domain_id, count(*) AS num_entries, sum(size)::BIGINT AS size, sum(size) > {CHUNK_LIMIT} AS \"full\" FROM e GROUP BY domain",
     "domain_listing": f"WITH RECURSIVE {LISTING} SELECT * FROM ls",
     "node_domains": f"WITH RECURSIVE {LISTING} SELECT domain_id, name, chunk, owner, n_replicas, reply FROM ls WHERE node = (SELECT min(node) FROM nodes)",
+    "domain_by_name": f"""WITH RECURSIVE {LISTING} SELECT domain_id, name, chunk, count(*) AS n_copies, count(*) FILTER (reply = 'ok') AS n_replies, max(num_entries) AS num_entries
+FROM ls WHERE name = 'click' GROUP BY domain_id, name, chunk""",
     "domain_status": f"""WITH RECURSIVE {LISTING} SELECT row_number() OVER (ORDER BY owner DESC, node) - 1 AS place, node, owner, num_entries, reply
 FROM ls WHERE domain_id = (SELECT min(domain_id) FROM ls)""",
     "replica_report": f"""WITH RECURSIVE {COUNTED}, m AS (SELECT domain_id, max(num_entries) AS most FROM ct WHERE rank > 0 GROUP BY domain_id)
@@ -217,5 +223,6 @@ FROM r JOIN r x ON x.place = (r.place - 1 + r.total) % r.total JOIN r y ON y.pla
   SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rank, ts, value FROM events) WHERE rank <= {FRESH}""",
     "domain_filter": f"WITH RECURSIVE {REGISTRY} SELECT name, chunk, domain_id FROM reg WHERE contains(name, 'c')",
     "log_round_trip": f"WITH {E} SELECT time, entry_id, flags, size, key, value FROM e",
+    "log_tail": f"WITH {E} SELECT time, entry_id, size, key FROM e",
     "log_external_values": f"WITH {DOCS} SELECT entry_id, flags = 1 AS external, size, md5(value) AS value_md5 FROM e",
 }

@@ -270,6 +270,14 @@ def node_sort(spark, sf_dir):
     return ring.named_nodes(named, "name", "strand-").select("name", "node_id")
 
 
+@query
+def node_discovery(spark, sf_dir):
+    """Nodes whose name has the prefix, on the hosts with an even number."""
+    named = supplier_nodes(spark, sf_dir).select(F.concat(F.when(F.col("host") % 3 == 0, "other-").otherwise("strand-"), "node_id").alias("name"), "host")
+    hosts = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("string").alias("host"))
+    return ring.discovered(named, "name", "strand-", "host", hosts).select("name", "node_id", "host")
+
+
 @query
 def ring_neighbours(spark, sf_dir):
     return ring.neighbours(supplier_nodes(spark, sf_dir)).select("node_id", "node", "previous_node", "next_node")
@@ -408,6 +416,13 @@ def sync_empty_owner(spark, sf_dir):
     return sync.missing(b, empty, sync.leaf_diff(empty, b))
 
 
+@query
+def resync(spark, sf_dir):
+    """The ids of both copies after a round."""
+    owner, replica = sync.resync(*replicas(spark, sf_dir), "ord")
+    return owner.select(F.lit("owner").alias("copy"), *sync.IDS, "key").union(replica.select(F.lit("replica"), *sync.IDS, "key"))
+
+
 @query
 def tree_dump(spark, sf_dir):
     return sync.tree_dump(event_entries(spark, sf_dir))
@@ -512,6 +527,11 @@ def node_domains(spark, sf_dir):
     return monitor.on_node(rows, node).select("domain_id", "name", "chunk", "owner", "n_replicas", "reply")
 
 
+@query
+def domain_by_name(spark, sf_dir):
+    return monitor.by_name(listing(spark, sf_dir), "click")
+
+
 @query
 def domain_status(spark, sf_dir):
     """Every copy of the domain with the least id."""
@@ -567,6 +587,16 @@ def log_round_trip(spark, sf_dir):
     return back.select("time", "entry_id", "flags", "size", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
+@query
+def log_tail(spark, sf_dir):
+    """Events written as log files and read by the stream that follows them."""
+    path, out = _logged(spark, event_entries(spark, sf_dir)), new_path(spark, "tail")
+    stream = spark.readStream.format("entrylog").option("path", path).load()
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    back = spark.read.schema(stream.schema).parquet(out)
+    return back.select("time", "entry_id", "size", F.col("key").cast("string").alias("key"))
+
+
 @query
 def log_external_values(spark, sf_dir):
     """Documents written as log files, long texts beside them, and joined again with their checksums compared."""
