@@ -65,11 +65,11 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int =
 
     The order within a source is that of md5(doc_id as text), so reruns agree.
     A null text has no words; rows without words take nothing. A null source is
-    a source of its own, a null doc_id counts as empty text in the shuffle.
+    a source of its own; rows with a null doc_id are shuffled by their texts.
     Repeated rows are documents of their own. An empty table gives an empty
     result. Other columns are ignored.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("lacks"), size_of(F.col("text")).alias("size"), key.alias("key"))
     rows = written(rows, "sizes")
     goals = written(targets(rows, weights, repeats), "targets")
@@ -127,7 +127,7 @@ ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS source, source IS NULL AS lacks,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS key
+         md5(coalesce(doc_id::VARCHAR, text, '')) AS key
   FROM documents),
 s AS (
   SELECT source, lacks, sum(size)::BIGINT AS source_size,
