@@ -42,11 +42,6 @@ def bit_width(n: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.length(F.bin(n)))
 
 
-def gamma_code(n: Column) -> Column:
-    """Elias gamma code of a positive number, as a string of 0 and 1; null for 0, which has none."""
-    return F.when(n > 0, F.lpad(F.bin(n), (2 * F.length(F.bin(n)) - 1).cast("int"), F.lit("0")))
-
-
 def is_external(flags: Column) -> Column:
     return flags.bitwiseAND(F.lit(FLAG_EXTERNAL)) != 0
 
