@@ -180,7 +180,3 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             b = max(a + 1, int(np.searchsorted(offs, offs[a] + limit, "right")) - 1)
             yield batch.slice(a, b - a), Text(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
             a = b
-
-
-def text_at(text: Text, d: int) -> str:
-    return text.data[text.docs[d] : text.docs[d + 1]].tobytes().decode("utf-8", "replace")
