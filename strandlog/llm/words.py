@@ -104,10 +104,6 @@ class Text:
             k = stop
         return mix64(out)
 
-    def words(self) -> list[str]:
-        raw = self.data.tobytes()
-        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True)]
-
 
 def windows(h: np.ndarray, first: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of size words that lie in one document, and each one's first word.
