@@ -7,16 +7,6 @@ from pyspark.sql import functions as F
 
 from .store import written
 
-#: Nodes with this share of all edges, and so many edges at least, are hubs; there are at most 2 / HUB_SHARE of them.
-HUB_SHARE, HUB_EDGES = 1e-4, 1000
-
-
-def _told(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges (u, v) with m of u from least (u, m, hub)."""
-    hubs = F.broadcast(least.where("hub").select("u", "m"))
-    plain = edges.join(F.broadcast(least.where("hub").select("u")), "u", "left_anti")
-    return edges.join(hubs, "u").select("u", "v", "m").union(plain.join(least.where("not hub").select("u", "m"), "u").select("u", "v", "m"))
-
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the component's least node.
@@ -25,9 +15,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     larger neighbours, then the smaller ones), which halves path lengths and
     never adds edges. Only a count and a checksum of the edges reach the
     driver. A round's edges are a table in the shared folder, so a lost
-    executor costs one round at most. The neighbours of a hub stay where they
-    are and get its least neighbour by a broadcast; there are at most
-    2 / HUB_SHARE hubs at any size. Nulls and loops are no edges.
+    executor costs one round at most. Least neighbours are tables too: the join
+    with them has a plain shuffle on either side, so that Spark can deal a hub's
+    edges over several tasks. Nulls and loops are no edges.
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
     now = written(now, "edges")
@@ -38,12 +28,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         seen = (state["n"], state["h"])
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        limit = max(HUB_EDGES, int(HUB_SHARE * state["n"]))
-        least = both.groupBy("u").agg(F.min("v").alias("w"), F.count("*").alias("degree")).select("u", F.least("u", "w").alias("m"), (F.col("degree") > limit).alias("hub"))
-        large = _told(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", "m", (F.col("degree") > limit).alias("hub"))
-        small = _told(down, low).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        least = written(both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m")), "least")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = written(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+        low = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = written(small, "edges")
     hooked = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     roots = hooked.select(F.col("root").alias("node"), "root").distinct().join(hooked.select("node"), "node", "left_anti")
