@@ -271,10 +271,9 @@ def test_jaccard_join_with_small_blocks(monkeypatch):
     assert all((r["class_id"], r["n_links"]) == expected[dict(rows)[r["doc_id"]]] for r in found)
 
 
-def test_components_with_a_hub(monkeypatch):
+def test_components_with_a_hub():
     from strandlog.llm import graph
 
-    monkeypatch.setattr(graph, "HUB_EDGES", 5)
     edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 140)] + [(59, 500), (500, 501), (140, 139), (7, 7)]
     found = {r["node"]: r["root"] for r in graph.components(spark().createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in [*range(60), 500, 501]}, **{i: 100 for i in range(100, 141)}}
