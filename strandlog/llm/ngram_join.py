@@ -304,3 +304,22 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     keyed = docs.withColumn("_text_key", _text_key())
     kept = keyed.join(heads, (F.col("doc_id") == F.col("_head_id")) & (F.col("_text_key") == F.col("_head_key")), "left_semi").dropDuplicates(["doc_id", "_text_key"])
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+#: near_duplicates without pruning: a pair that the tolerance drops would be a difference.
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS id FROM documents GROUP BY 1),
+w AS (SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t),
+s AS (
+  SELECT DISTINCT id, array_to_string(ws[p:p + 4], ' ') AS g
+  FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS p FROM w WHERE len(ws) > 0)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id),
+e AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT id, id AS root FROM t UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+m AS (SELECT id, min(root) AS class_id FROM r GROUP BY id),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, class_id, t.id AS text_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM documents d JOIN t ON coalesce(d.text, '') = t.text JOIN m ON m.id = t.id LEFT JOIN k ON k.a = t.id
+"""

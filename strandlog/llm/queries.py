@@ -108,9 +108,9 @@ FROM k
 
 
 def _oracles() -> dict[str, str]:
-    from . import mixing, quality_rules
+    from . import mixing, ngram_join, quality_rules
 
-    return {"op2_quality_rules": quality_rules.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op2_quality_rules": quality_rules.ORACLE_SQL, "op3_ngram_join": ngram_join.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_substring_dedup": OP10_SQL}
 
 
 ORACLES: dict[str, str] = _oracles()
