@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from ..sources.shared import new_path, written
 
 
+#: Spark's limit of buckets, unless a session raises it.
+MAX_BUCKETS = 100_000
+
+
 def _sorted(names: list[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in names]
 
@@ -23,7 +27,7 @@ def _sorted(names: list[str]) -> list[Column]:
 def in_order(df: DataFrame, by: list[str], label: str = "ordered") -> DataFrame:
     """df range-sorted by ``by``, with the number of each row's block in ``_block``: the only shuffle of the rows."""
     spark = df.sparkSession
-    name, buckets = f"ordered_{uuid.uuid4().hex}", 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, buckets = f"ordered_{uuid.uuid4().hex}", min(MAX_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.repartitionByRange(*_sorted(by)).withColumn("_block", F.spark_partition_id())
     dealt.write.option("compression", "zstd").option("path", new_path(spark, label)).bucketBy(buckets, "_block").saveAsTable(name)
     rows = spark.table(name)  # later reads see the same blocks
