@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
+from ..operators.ordering import MAX_BUCKETS
 from ..sources.shared import removed
 from .ngram_join import _changes, _groups
 from .store import bounded_batches, new_path, written
@@ -285,7 +286,7 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.version, self.texts, self.prints, self.runs = 0, [], [], 0
         self.names: list[str] = []
         try:
