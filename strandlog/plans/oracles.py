@@ -209,7 +209,7 @@ SELECT domain, count(*) AS n_replicas, count(DISTINCT n) <= 1 AS counts_agree, c
   SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rank, ts, value FROM events) WHERE rank <= {FRESH}""",
     "replica_status": f"WITH {E} SELECT 'n1' AS node, domain AS domain_id, count(*) AS num_entries, sum(size)::BIGINT AS size, sum(size) > {CHUNK_LIMIT} AS \"full\" FROM e GROUP BY domain",
     "domain_listing": f"WITH RECURSIVE {LISTING} SELECT * FROM ls",
-    "node_domains": f"WITH RECURSIVE {LISTING} SELECT domain_id, name, chunk, owner, n_replicas, reply FROM ls WHERE node = (SELECT min(node) FROM nodes)",
+    "node_domains": f"WITH RECURSIVE {LISTING} SELECT domain_id, name, chunk, owner, n_replicas, reply FROM ls WHERE node = (SELECT min(node) FROM ls)",
     "domain_by_name": f"""WITH RECURSIVE {LISTING} SELECT domain_id, name, chunk, count(*) AS n_copies, count(*) FILTER (reply = 'ok') AS n_replies, max(num_entries) AS num_entries
 FROM ls WHERE name = 'click' GROUP BY domain_id, name, chunk""",
     "domain_status": f"""WITH RECURSIVE {LISTING} SELECT row_number() OVER (ORDER BY owner DESC, node) - 1 AS place, node, owner, num_entries, reply

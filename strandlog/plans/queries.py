@@ -522,8 +522,8 @@ def domain_listing(spark, sf_dir):
 
 @query
 def node_domains(spark, sf_dir):
-    rows = listing(spark, sf_dir)
-    node = supplier_nodes(spark, sf_dir).agg(F.min("node").alias("node")).first()["node"] or ""
+    rows = written(listing(spark, sf_dir), "listing")
+    node = rows.agg(F.min("node").alias("node")).first()["node"] or ""
     return monitor.on_node(rows, node).select("domain_id", "name", "chunk", "owner", "n_replicas", "reply")
 
 
