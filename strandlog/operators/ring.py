@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from . import ordering
 
 _BUCKET_DIGITS = 3
@@ -119,19 +120,26 @@ def placed_replicas(owned: DataFrame, nodes: DataFrame) -> DataFrame:
     """Replicas of domains (domain_id, node, nrepl): domain_id, node, rank; rank 0 is the owner.
 
     From the owner backwards, nodes on the owner's host are passed over, until
-    nrepl others have a copy or the ring is closed. Chains are worked out once
-    an owner, by steps on the ring that all owners take together.
+    nrepl others have a copy or the ring is closed. Numbered among the nodes of
+    other hosts, these are the ones just before the owner. The last node of the
+    host before such a number tells how many to add for its place in the ring,
+    so the work is a row a node and a copy, however many nodes a host has.
     """
-    placed = ranked(nodes)
-    total = placed.agg(F.count("*").alias("total"))
-    needs = owned.groupBy("node").agg(F.max("nrepl").alias("need"))
-    first = placed.join(needs, "node").crossJoin(F.broadcast(total))  # one row
-    # skipped: nodes of the owner's host can only delay a replica, so need + nodes of that host steps suffice
-    hosts = placed.groupBy("host").agg(F.count("*").alias("same"))
-    steps = first.join(hosts, "host").select(F.col("node").alias("owner"), F.col("host").alias("owner_host"), F.col("place").alias("_at"), "total", "need", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.least(F.col("total") - 1, F.col("need") + F.col("same"))))).alias("step"))
-    copies = steps.join(placed.select("place", "node", "host"), F.pmod(F.col("_at") - F.col("step"), F.col("total")) == F.col("place")).where("host <> owner_host and total > 1")
-    order = Window.partitionBy("owner").orderBy("step")  # need + nodes of a host rows at most
-    chain = copies.withColumn("rank", F.row_number().over(order)).where("rank <= need").select("owner", F.col("node").alias("replica"), "rank")
+    placed = ranked(nodes.where(F.col("host").isNotNull()))
+    members = written(ordering.running_sum(placed.select("place", "node", "host"), ["host"], ["place"], F.lit(1).cast("long"), "_same"), "members")
+    members = members.withColumn("_at", F.col("place") - F.col("_same"))  # nodes of other hosts before it
+    needs = owned.groupBy("node").agg(F.max("nrepl").cast("long").alias("need"))
+    total = members.agg(F.count("*").alias("total"))
+    others = members.groupBy("host").agg(F.count("*").alias("_n")).crossJoin(F.broadcast(total)).select("host", (F.col("total") - F.col("_n")).alias("others"))  # total is one row
+    owner = members.groupBy("node").agg(F.max(F.struct("place", "host", "_at")).alias("_o")).select(F.col("node").alias("owner"), "_o.host", "_o._at")  # the last of one name owns
+    first = owner.join(needs.withColumnRenamed("node", "owner"), "owner").join(others, "host").where("need > 0 and others > 0")
+    ranks = first.withColumn("rank", F.explode(F.sequence(F.lit(1).cast("long"), F.least("need", "others"))))
+    asks = ranks.select("host", F.pmod(F.col("_at") - F.col("rank"), F.col("others")).alias("_at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("_same"), "owner", "rank")
+    marks = members.select("host", "_at", F.lit(0).alias("kind"), "_same", F.lit(None).cast("string").alias("owner"), F.lit(None).cast("long").alias("rank"))
+    found = ordering.latest(marks.union(asks), ["host", "_at", "kind", "_same"], F.when(F.col("kind") == 0, F.struct("host", "_same")), "copies").where("kind = 1")
+    passed = F.when(F.col("_latest.host") == F.col("host"), F.col("_latest._same") + 1).otherwise(0)
+    at = found.select("owner", "rank", (F.col("_at") + passed).alias("place"))
+    chain = written(at.join(placed.select("place", F.col("node").alias("replica")), "place").select("owner", "replica", "rank"), "chains")
     copied = owned.join(chain, owned["node"] == chain["owner"]).where(F.col("rank") <= F.col("nrepl")).select("domain_id", F.col("replica").alias("node"), F.col("rank").cast("int").alias("rank"))
     return owned.select("domain_id", "node", F.lit(0).alias("rank")).union(copied)
 

@@ -110,6 +110,39 @@ def test_ring_rules():
     assert ring.neighbours(one).first()["next_node"] == "n1" and ring.placed_replicas(frame([("d", "n1", 2)], "domain_id string, node string, nrepl int"), one).count() == 1
 
 
+def test_replicas_are_those_of_a_walk_and_take_few_rows():
+    rng = random.Random(6)
+    for hosts in ("ab", "aaaaab", "abcdefgh", "a"):
+        nodes = [(f"{rng.randrange(16**32):032x}", f"n{i}", rng.choice(hosts)) for i in range(60)]
+        order, owned = sorted(nodes), [(f"d{i}", f"n{i}", i % 5) for i in range(60)]
+        expected = []
+        for domain, node, nrepl in owned:
+            at = next(i for i, n in enumerate(order) if n[1] == node)
+            back = [order[at - k][1] for k in range(1, 60) if order[at - k][2] != order[at][2]][:nrepl]
+            expected += [(domain, n, k) for k, n in enumerate([node, *back])]
+        found = ring.placed_replicas(frame(owned, "domain_id string, node string, nrepl int"), frame(nodes, "node_id string, node string, host string"))
+        assert sorted((r["domain_id"], r["node"], r["rank"]) for r in found.collect()) == sorted(expected)
+
+
+def most_rows(df):
+    """The greatest number of rows that a step of df's plan gives."""
+    df.collect()
+    plans, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName()
+        plans += [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+        if plan.metrics().contains("numOutputRows"):
+            most = max(most, plan.metrics().apply("numOutputRows").value())
+    return most
+
+
+def test_replicas_on_a_large_host_take_no_row_a_pair_of_nodes():
+    nodes = spark().range(1500).select(F.md5(F.col("id").cast("string").cast("binary")).alias("node_id"), F.concat(F.lit("n"), "id").alias("node"), F.when(F.col("id") % 500 == 0, "b").otherwise("a").alias("host"))
+    owned = nodes.select(F.col("node_id").alias("domain_id"), "node", F.lit(3).alias("nrepl"))
+    assert most_rows(ring.placed_replicas(owned, nodes)) < 20_000  # of 2 million pairs
+
+
 def test_archive():
     store = Archive(spark(), tempfile.mkdtemp(prefix="spark-"))
     store.create("orchard")
