@@ -1,31 +1,34 @@
 """Chunk rolling: a running sum that starts again, without a task that walks a whole domain.
 
-With sums of the sizes before each entry, the entry that a chunk beginning at
-entry i is followed by is a lookup: the first one whose sum passes that of i by
-more than the limit. Those lookups form a chain from the first entry of each
-domain; the entries on it, found by pointer doubling, begin the chunks.
-
-Few entries can begin a chunk: a chunk passes the limit by less than the
-longest entry, so the j-th one begins at least j times the limit, and at most j
-times (the limit and the longest entry), after the first. Only entries in those
-stretches take part.
+Entries are range-sorted into blocks. A chunk that is open where a block begins
+ends within the limit of it, so only the entries up to there can be the first
+to begin a chunk in that block. From each of those a task follows the chunks to
+the block's last one, and the position that the next chunk begins behind. These
+exits, some a block, are linked to the entries of later blocks by a lookup;
+those on the chain from the first entry of each domain, found by pointer
+doubling, are where the chunks of each block really begin. A second pass over
+the same blocks numbers the chunks from there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from ..schemas import CHUNK_BYTES
 from ..sources.shared import written
 from . import ordering
 
 
-def _following(rows: DataFrame, limit: int) -> DataFrame:
-    """(domain, ord, to) of entries (domain, ord, pos, size): the ord of the entry that begins the next chunk, null if none does."""
-    # entry k begins the chunk after i's if k is the first with pos(k) > pos(i) + limit: k's chunk has then grown beyond the limit before it
-    marks = rows.select("domain", F.col("pos").alias("at"), F.lit(1).alias("kind"), "ord")
-    asks = rows.select("domain", (F.col("pos") + limit).alias("at"), F.lit(0).alias("kind"), "ord")
+def _following(exits: DataFrame) -> DataFrame:
+    """(domain, ord, to) of exits (domain, ord, at, out): the ord of the first of them whose at is beyond out, null if none is."""
+    marks = exits.select("domain", "at", F.lit(1).alias("kind"), "ord")
+    asks = exits.select("domain", F.col("out").alias("at"), F.lit(0).alias("kind"), "ord")
     # looking forward is looking back in the falling order
     both = marks.union(asks).select("domain", (-F.col("at")).alias("fall"), "kind", (-F.col("ord")).alias("back"))
     found = ordering.latest(both, ["domain", "fall", "kind", "back"], F.when(F.col("kind") == 1, F.struct("domain", (-F.col("back")).alias("ord"), F.col("fall").alias("fall"))), "following")
@@ -33,11 +36,62 @@ def _following(rows: DataFrame, limit: int) -> DataFrame:
     return found.where("kind = 0").select("domain", (-F.col("back")).alias("ord"), F.when(hit, F.col("_latest.ord")).alias("to"))
 
 
-def _possible(rows: DataFrame, limit: int) -> DataFrame:
-    """The entries (domain, ord, pos, size) that may begin a chunk."""
-    ends = rows.groupBy("domain").agg(F.min("pos").alias("_first"), F.max("size").alias("_longest"))
-    at = F.col("pos") - F.col("_first")
-    return rows.join(ends, "domain").where(at <= F.floor(at / F.lit(limit + 1)) * (F.lit(limit) + F.col("_longest"))).drop("_first", "_longest")
+def _leaving(limit: int) -> Callable:
+    """Of one block of a domain: ord and at (the position) of each entry that can begin its first chunk, then n, the chunks from there on, and out, the position that no chunk begins up to."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("ord").to_numpy(zero_copy_only=False), b.column("pos").to_numpy(zero_copy_only=False)) for b in batches]
+        ords, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _check_order(pos, pos[0])
+        n = len(pos)
+        entering = min(int(np.searchsorted(pos, pos[0] + limit, "right")) + 1, n)
+        at, count = np.arange(entering), np.ones(entering, np.int64)
+        while True:  # a step a chunk, for all of them together
+            to = np.searchsorted(pos, pos[at] + limit, "right")
+            if not (on := to < n).any():
+                break
+            at, count = np.where(on, to, at), count + on
+        columns = [pa.repeat(key[0], entering), pa.repeat(key[1], entering), pa.array(ords[:entering]), pa.array(pos[:entering]), pa.array(pos[at] + limit), pa.array(count)]
+        yield pa.RecordBatch.from_arrays(columns, ["_block", "domain", "ord", "at", "out", "n"])
+
+    return run
+
+
+def _numbering(limit: int) -> Callable:
+    """Adds chunk to one block of a domain, whose first chunk begins at ord _first_begin (null: none begins here), after _chunks_before others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = bound = seen = None
+        for batch in batches:
+            pos, n = batch.column("pos").to_numpy(zero_copy_only=False), batch.num_rows
+            if not n:
+                continue
+            _check_order(pos, pos[0] if seen is None else seen)
+            seen, begins = pos[-1], np.zeros(n, np.int64)
+            if number is None:
+                number = batch.column("_chunks_before")[0].as_py() - 1
+            if bound is None:
+                enter = batch.column("_first_begin")[0].as_py()
+                hits = np.flatnonzero(batch.column("ord").to_numpy(zero_copy_only=False) == enter) if enter is not None else ()
+                if len(hits):
+                    begins[hits[0]], bound = 1, pos[hits[0]] + limit
+            while bound is not None and (k := int(np.searchsorted(pos, bound, "right"))) < n:
+                begins[k], bound = 1, pos[k] + limit
+            chunk = number + np.cumsum(begins)
+            number = int(chunk[-1])
+            yield batch.drop_columns(["_block", "_first_begin", "_chunks_before"]).append_column("chunk", pa.array(chunk, pa.int32()))
+
+    return run
+
+
+def _check_order(pos: np.ndarray, least: int) -> None:
+    if pos[0] < least or (pos[1:] < pos[:-1]).any():
+        raise RuntimeError("the rows of a block are not in order")
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of ``ordering.in_order`` sorted inside their blocks; grouping them by block and domain keeps that order."""
+    return rows.sortWithinPartitions("_block", "domain", "ord")
 
 
 def rolled(entries: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
@@ -45,11 +99,13 @@ def rolled(entries: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
 
     ord is a number that is unique in a domain. An empty table gives an empty result.
     """
-    rows = written(entries, "entries")
-    possible = _possible(rows.select("domain", "ord", "pos", "size"), limit)
-    links = written(_following(possible, limit), "chain").where("to is not null")
-    begins = written(rows.groupBy("domain").agg(F.min("ord").alias("ord")), "begins")
-    while True:  # after k rounds links jump 2^k chunks and begins holds the first 2^k ones
+    entries = entries.withColumns({"ord": F.col("ord").cast("long"), "pos": F.col("pos").cast("long")})
+    rows = ordering.in_order(entries, ["domain", "ord"], "entries")
+    fields = StructType([rows.schema["_block"], rows.schema["domain"], rows.schema["ord"]]).add("at", LongType()).add("out", LongType()).add("n", LongType())
+    exits = written(_in_blocks(rows.select("_block", "domain", "ord", "pos")).groupBy("_block", "domain").applyInArrow(_leaving(limit), fields), "exits")
+    links = written(_following(exits).where("to is not null"), "chain")
+    begins = written(exits.groupBy("domain").agg(F.min("ord").alias("ord")), "begins")
+    while True:  # after k rounds links jump 2^k blocks and begins holds the first 2^k entries of the chain
         more = begins.join(links, ["domain", "ord"]).select("domain", F.col("to").alias("ord"))
         grown = written(begins.union(more).distinct(), "begins")
         if grown.count() == begins.count():
@@ -57,10 +113,12 @@ def rolled(entries: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
         begins = grown
         ahead = links.select("domain", F.col("ord").alias("to"), F.col("to").alias("far"))
         links = written(links.join(ahead, ["domain", "to"]).select("domain", "ord", F.col("far").alias("to")), "chain")
-    marks = begins.select("domain", "ord", F.lit(1).cast("long").alias("_begins"))
-    marked = rows.join(marks, ["domain", "ord"], "left")
-    summed = ordering.running_sum(marked, ["domain"], ["ord"], F.coalesce("_begins", F.lit(0)), "_chunks")
-    return summed.withColumn("chunk", (F.col("_chunks") + F.coalesce("_begins", F.lit(0)) - 1).cast("int")).drop("_begins", "_chunks")
+    told = exits.join(begins.withColumn("_there", F.lit(True)), ["domain", "ord"], "left").groupBy("_block", "domain")
+    starts = told.agg(F.min(F.when(F.col("_there"), F.col("ord"))).alias("_first_begin"), F.coalesce(F.sum(F.when(F.col("_there"), F.col("n"))), F.lit(0)).alias("_n"))
+    before = Window.partitionBy("domain").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    starts = written(starts.select("_block", "domain", "_first_begin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_chunks_before")), "starts")
+    placed = rows.alias("r").join(starts.alias("s"), (F.col("r._block") == F.col("s._block")) & F.col("r.domain").eqNullSafe(F.col("s.domain"))).select("r.*", "_first_begin", "_chunks_before")
+    return _in_blocks(placed).groupBy("_block", "domain").applyInArrow(_numbering(limit), StructType(list(entries.schema.fields)).add("chunk", IntegerType()))
 
 
 #: Per domain: the open chunk, its bytes, the bytes written so far and the last entry id.

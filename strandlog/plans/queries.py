@@ -56,10 +56,15 @@ def supplier_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.nodes_of(table(spark, sf_dir, "supplier"), F.col("s_name"), F.col("s_nationkey"))
 
 
+def rolled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """domain, ord, entry_id, size, pos, chunk of the event entries."""
+    rows = event_entries(spark, sf_dir).select("domain", "ord", "entry_id", "flags", "size")
+    return chunks.rolled(entries.positioned(rows).select("domain", "ord", "entry_id", "size", "pos"), CHUNK_LIMIT)
+
+
 def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event entries with their chunk and its domain id."""
-    rolled = chunks.rolled(entries.positioned(event_entries(spark, sf_dir)), CHUNK_LIMIT)
-    return rolled.withColumn("domain_id", fn.domain_id(F.col("domain"), F.col("chunk")))
+    """The same with the chunk's domain id, as a table: most queries read it more than once."""
+    return written(rolled_events(spark, sf_dir), "chunked").withColumn("domain_id", fn.domain_id(F.col("domain"), F.col("chunk")))
 
 
 def registry(rows: DataFrame) -> DataFrame:
@@ -232,12 +237,12 @@ def domain_registry(spark, sf_dir):
 
 @query
 def chunk_roll(spark, sf_dir):
-    return chunks.rolled(entries.positioned(event_entries(spark, sf_dir)), CHUNK_LIMIT).select("domain", "ord", "chunk")
+    return rolled_events(spark, sf_dir).select("domain", "ord", "chunk")
 
 
 @query
 def chunk_sizes(spark, sf_dir):
-    return chunks.chunk_sizes(chunks.rolled(entries.positioned(event_entries(spark, sf_dir)), CHUNK_LIMIT), CHUNK_LIMIT)
+    return chunks.chunk_sizes(rolled_events(spark, sf_dir), CHUNK_LIMIT)
 
 
 @query

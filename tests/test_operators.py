@@ -53,6 +53,22 @@ def test_chunks_roll_as_one_pass_does(limit):
     assert chunks.rolled(frame([], "domain string, ord long, pos long, size long"), limit).count() == 0
 
 
+def test_few_entries_take_part_in_the_search_for_chunks(monkeypatch):
+    """The entries that links are made for grow with the blocks, not with the entries."""
+    kept, tables = chunks.written, {}
+
+    def spy(df, label):
+        found = kept(df, label)
+        tables[label] = max(tables.get(label, 0), found.count())
+        return found
+
+    monkeypatch.setattr(chunks, "written", spy)
+    rows = spark().range(30_000).select(F.lit("d").alias("domain"), F.col("id").alias("ord"), (F.col("id") * 50).alias("pos"), F.lit(50).alias("size"))
+    found = chunks.rolled(rows, 990)
+    assert found.agg(F.max("chunk")).first()[0] == 30_000 // 20 - 1 and found.where("chunk <> floor(ord / 20)").count() == 0
+    assert tables.get("chain", 0) < 2000 and tables.get("exits", 0) < 2000
+
+
 def test_posting_lists_come_back():
     rng = random.Random(4)
     rows = [("d", 0, k, sorted(rng.sample(range(10**6), rng.randrange(1, 60)))) for k in range(50)]
