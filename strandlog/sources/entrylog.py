@@ -2,8 +2,10 @@
 
 Reading: one partition a file, as chunks of a domain are files of a bounded
 size. Values of external entries stay links; ``external.read_values`` joins
-them. Writing: each task writes one file under a temporary name, and the commit
-on the driver gives it its name, so a lost task leaves no entries behind.
+them. Writing: each task writes files of at most FILE_BYTES and an entry, so that
+one fits into a reader's memory at any size of the input, under temporary names,
+and the commit on the driver gives them their names, so a lost task leaves no
+entries behind.
 External values have the checksum of their content in their names, so tasks
 name them themselves, and a task that runs again writes the same files. As a
 stream, the driver looks at file lengths only; a task returns the entries that
@@ -27,6 +29,10 @@ from ..schemas import FLAG_EXTERNAL, LOG
 from .codec import Entry, link, made, scan
 
 _BATCH = 4096
+#: A writer goes on in a new file beyond this size.
+FILE_BYTES = 1 << 22
+#: Rows that a writer has as Python objects at a time.
+_ROWS = 256
 
 
 def _columns(name: str, entries: list[Entry]) -> pa.RecordBatch:
@@ -131,7 +137,7 @@ class _Follower(DataSourceStreamReader):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    name: str
+    names: list[str]
 
 
 class _Writer(DataSourceArrowWriter):
@@ -147,25 +153,36 @@ class _Writer(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         fs, base = self._fs()
         fs.create_dir(base, recursive=True)
-        task, known = uuid.uuid4().hex, set()
-        name = f"{base}/{task}.log"
-        with fs.open_output_stream(f"{name}.partial") as out:
+        task, known, names, out, size = uuid.uuid4().hex, set(), [], None, 0
+        try:
             for batch in batches:
-                raws = []
-                for time, entry_id, flags, key, value in zip(*(batch.column(k).to_pylist() for k in self.at), strict=True):
-                    raw, external = made(key or b"", value or b"", time, entry_id, flags or 0)
-                    raws.append(raw)
-                    if external and external not in known:
-                        with fs.open_output_stream(f"{base}/{external}.{task}.partial") as file:
-                            file.write(value or b"")
-                        fs.move(f"{base}/{external}.{task}.partial", f"{base}/{external}")
-                        known.add(external)
-                out.write(b"".join(raws))
-        return _Written(name)
+                for k in range(0, batch.num_rows, _ROWS):
+                    part, raws = batch.slice(k, _ROWS), []
+                    for time, entry_id, flags, key, value in zip(*(part.column(k).to_pylist() for k in self.at), strict=True):
+                        raw, external = made(key or b"", value or b"", time, entry_id, flags or 0)
+                        raws.append(raw)
+                        if external and external not in known:
+                            with fs.open_output_stream(f"{base}/{external}.{task}.partial") as file:
+                                file.write(value or b"")
+                            fs.move(f"{base}/{external}.{task}.partial", f"{base}/{external}")
+                            known.add(external)
+                    for raw in raws:
+                        if out is not None and size >= FILE_BYTES:
+                            out.close()
+                            out = None
+                        if out is None:
+                            names.append(f"{base}/{task}-{len(names):06d}.log")
+                            out, size = fs.open_output_stream(f"{names[-1]}.partial"), 0
+                        out.write(raw)
+                        size += len(raw)
+        finally:
+            if out is not None:
+                out.close()
+        return _Written(names)
 
     def commit(self, messages: list) -> None:
         fs, _ = self._fs()
-        for name in sorted({m.name for m in messages if m}):  # one a task
+        for name in sorted({n for m in messages if m for n in m.names}):  # names only
             if fs.get_file_info(f"{name}.partial").is_file:
                 fs.move(f"{name}.partial", name)
 
@@ -173,8 +190,8 @@ class _Writer(DataSourceArrowWriter):
         """Drops the logs; values without an entry stay, and a later write of the same ones finds them."""
         fs, _ = self._fs()
         for m in messages:
-            if m:
-                fs.delete_file(f"{m.name}.partial")
+            for name in m.names if m else ():
+                fs.delete_file(f"{name}.partial")
 
 
 class EntryLog(DataSource):

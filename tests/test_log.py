@@ -119,3 +119,14 @@ def test_missing_external_value_is_null():
         file.write(b"other")
     found = entrylog.read_values(entrylog.decoded(session, path), path).collect()
     assert len(files) == 5 and sorted(r["value"] is None for r in found) == [False] * 3 + [True] * 2
+
+
+def test_files_of_the_sink_are_bounded():
+    path, n = tempfile.mkdtemp(prefix="spark-"), 4000
+    entrylog.register(spark())
+    rows = spark().range(n).selectExpr("id AS time", "id AS entry_id", "0 AS flags", "CAST(id AS STRING) AS key", "repeat('x', 3000) AS value").coalesce(1)
+    rows.selectExpr("time", "entry_id", "flags", "CAST(key AS BINARY) AS key", "CAST(value AS BINARY) AS value").write.format("entrylog").mode("append").option("path", path).save()
+    sizes = [os.path.getsize(f"{path}/{x}") for x in os.listdir(path)]
+    assert len(sizes) > 1 and max(sizes) < (1 << 22) + 5000
+    back = entrylog.decoded(spark(), path).groupBy().agg({"entry_id": "sum", "*": "count"}).first()
+    assert sorted(back) == [n, n * (n - 1) // 2]
