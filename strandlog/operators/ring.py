@@ -158,8 +158,9 @@ def replicated(entries: DataFrame, placed: DataFrame) -> DataFrame:
     """One row a copy of entries (domain_id, ...): each with node and rank of every replica in placed.
 
     A domain_id is one chunk, so its entries are bounded by the chunk limit.
+    The copies, a few a chunk, are hashed; the entries need no sort.
     """
-    return entries.join(placed.select("domain_id", "node", "rank"), "domain_id")
+    return entries.join(placed.select("domain_id", "node", "rank").hint("shuffle_hash"), "domain_id")
 
 
 def _places(nodes: DataFrame) -> DataFrame:

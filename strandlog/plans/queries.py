@@ -69,12 +69,14 @@ def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry(rows: DataFrame) -> DataFrame:
     """Chunks of the event domains."""
-    return rows.select("domain_id", F.col("domain").alias("name"), "chunk").distinct().withColumn("nrepl", F.lit(NREPL))
+    found = rows.select("domain", "chunk").distinct().withColumn("domain_id", fn.domain_id(F.col("domain"), F.col("chunk")))
+    return found.select("domain_id", F.col("domain").alias("name"), "chunk", F.lit(NREPL).alias("nrepl"))
 
 
 def placement(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     nodes = supplier_nodes(spark, sf_dir)
-    return ring.placed_replicas(ring.owners(registry(rows), "domain_id", nodes), nodes)
+    owned = written(ring.owners(registry(rows), "domain_id", nodes), "owned")
+    return written(ring.placed_replicas(owned, nodes), "placed")
 
 
 def copies(rows: DataFrame, placed: DataFrame) -> DataFrame:

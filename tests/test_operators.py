@@ -159,6 +159,18 @@ def test_replicas_on_a_large_host_take_no_row_a_pair_of_nodes():
     assert most_rows(ring.placed_replicas(owned, nodes)) < 20_000  # of 2 million pairs
 
 
+def test_entries_are_copied_without_a_sort():
+    rows = frame([("d", i) for i in range(9)], "domain_id string, ord long")
+    found = ring.replicated(rows, frame([("d", "n", 0), ("d", "m", 1)], "domain_id string, node string, rank int"))
+    kept = spark().conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark().conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = found.select("*")._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 18 and "Sort" not in plan
+    finally:
+        spark().conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_archive():
     store = Archive(spark(), tempfile.mkdtemp(prefix="spark-"))
     store.create("orchard")
