@@ -6,15 +6,17 @@ import random
 import tempfile
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from strandlog import functions as fn
 from strandlog.api import Archive, DomainExists, InvalidDomain
 from strandlog.operators import chunks, entries, index, monitor, ordering, ring, sync
+from strandlog.plans import oracles, queries
 from strandlog.streaming import chunk_stream
 
-from .session import spark
+from .session import rows_of, spark, sql_rows
 
 
 def frame(rows, schema):
@@ -159,6 +161,24 @@ def test_replicas_on_a_large_host_take_no_row_a_pair_of_nodes():
     assert most_rows(ring.placed_replicas(owned, nodes)) < 20_000  # of 2 million pairs
 
 
+@pytest.mark.parametrize("name", ["domain_by_name"])
+def test_listings_of_a_large_host_take_no_row_a_pair_of_nodes(name, monkeypatch, tmp_path):
+    con, kept, most = duckdb.connect(), queries.written, []
+
+    def spy(df, label):
+        most.append(most_rows(df))
+        return kept(df, label)
+
+    for module in (queries, ring):
+        monkeypatch.setattr(module, "written", spy, raising=False)
+    con.sql(f"COPY (SELECT i AS s_suppkey, 'Supplier#' || i AS s_name, CASE WHEN i % 500 = 0 THEN 1 ELSE 0 END AS s_nationkey FROM range(1500) t(i)) TO '{tmp_path}/supplier.parquet'")
+    event = "i AS event_id, TIMESTAMP '2024-01-01' AS ts, i % 7 AS user_id, CASE WHEN i % 3 = 0 THEN 'view' ELSE 'click' END AS event_type, 1.0 AS value, repeat('p', 4000) AS props"
+    con.sql(f"COPY (SELECT {event} FROM range(1500) t(i)) TO '{tmp_path}/events.parquet'")
+    found = queries.QUERIES[name](spark(), str(tmp_path))
+    assert max([most_rows(found), *most]) < 50_000  # of some 300,000 pairs
+    assert rows_of(found) == sql_rows(oracles.ORACLES[name], str(tmp_path))[1]
+
+
 def test_entries_are_copied_without_a_sort():
     rows = frame([("d", i) for i in range(9)], "domain_id string, ord long")
     found = ring.replicated(rows, frame([("d", "n", 0), ("d", "m", 1)], "domain_id string, node string, rank int"))
