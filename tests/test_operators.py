@@ -161,7 +161,7 @@ def test_replicas_on_a_large_host_take_no_row_a_pair_of_nodes():
     assert most_rows(ring.placed_replicas(owned, nodes)) < 20_000  # of 2 million pairs
 
 
-@pytest.mark.parametrize("name", ["domain_by_name", "domain_status"])
+@pytest.mark.parametrize("name", ["domain_by_name", "domain_status", "node_domains"])
 def test_listings_of_a_large_host_take_no_row_a_pair_of_nodes(name, monkeypatch, tmp_path):
     con, kept, most = duckdb.connect(), queries.written, []
 
