@@ -290,3 +290,24 @@ def test_chunk_stream_carries_open_chunks_over_batches(tmp_path):
         chunk_stream(arriving, out, str(tmp_path / "state"), 500).awaitTermination()
     found = session.read.parquet(out).collect()
     assert {(r["domain"], r["ord"]): (r["chunk"], r["pos"]) for r in found} == expected and len(found) == len(expected)
+
+
+def test_few_entries_of_a_stream_take_part_in_the_search_for_chunks(tmp_path, monkeypatch):
+    """What chunk_stream links grows with the blocks, not with the entries that arrive."""
+    kept, tables = chunks.written, {}
+
+    def spy(df, label):
+        found = kept(df, label)
+        tables[label] = max(tables.get(label, 0), found.count())
+        return found
+
+    monkeypatch.setattr(chunks, "written", spy)
+    session, out = spark(), str(tmp_path / "out")
+    for k in range(2):
+        rows = session.range(k * 30_000, (k + 1) * 30_000).select(F.lit("d").alias("domain"), F.col("id").alias("ord"), F.col("id").alias("entry_id"), F.lit(50).cast("long").alias("size"))
+        rows.write.parquet(str(tmp_path / f"part{k}"))
+        arriving = session.readStream.schema(rows.schema).parquet(str(tmp_path / "part*"))
+        chunk_stream(arriving, out, str(tmp_path / "state"), 990).awaitTermination()
+    found = session.read.parquet(out)
+    assert found.count() == 60_000 and found.where("chunk <> floor(ord / 20) or pos <> ord * 50").count() == 0
+    assert tables["chain"] < 2000 and tables.get("exits", 0) < 2000
